@@ -17,6 +17,8 @@ from folianth.llm.store import materialize
 LOCAL_FREQUENT = 8
 #: Bound of the broadcast list of frequent shingles. It only shapes the token order, never what is found.
 FREQUENT_LIMIT = 1 << 16
+#: So many document ids are broadcast at most (8 MB).
+BROADCAST_IDS = 1 << 20
 #: One seed for each global order.
 ORDER_SEEDS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)
 
@@ -43,17 +45,32 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[by], rank[by]
 
 
-def prefix(tokens: np.ndarray, seed: int, percent: int, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first tokens of a set under one order: of two sets that are similar enough, these have a common token."""
-    n = len(tokens)
-    p = n - (percent * n + 99) // 100 + 1
-    late = np.zeros(n, np.int64)
+def prefixes(sets: list[np.ndarray], percent: int, frequent: np.ndarray, rank: np.ndarray) -> list[list[np.ndarray]]:
+    """For each order, the first tokens of each set: two sets that are similar enough share one of them."""
+    tokens = np.concatenate(sets)
+    late = np.zeros(len(tokens), np.int64)
     if len(frequent):
         at = np.searchsorted(frequent, tokens)
         at[at == len(frequent)] = 0
         hit = frequent[at] == tokens
         late[hit] = rank[at[hit]]
-    return tokens[np.lexsort((mix(tokens ^ U64(seed)), late))[:p]]
+    ends = np.cumsum([len(x) for x in sets]).tolist()
+    n_late = np.concatenate([[0], np.cumsum(late > 0)])[[0, *ends]]
+    out = []
+    for seed in ORDER_SEEDS:
+        place = mix(tokens ^ U64(seed))
+        first = []
+        for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+            p = b - a - (percent * (b - a) + 99) // 100 + 1
+            if b == a:
+                by = np.zeros(0, np.int64)
+            elif n_late[i + 1] > n_late[i]:
+                by = np.lexsort((place[a:b], late[a:b]))[:p]
+            else:
+                by = np.argpartition(place[a:b], p - 1)[:p]
+            first.append(tokens[a:b][by])
+        out.append(first)
+    return out
 
 
 def set_digests(docs: DataFrame, k: int) -> DataFrame:
@@ -72,16 +89,23 @@ def set_digests(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(doc_id, tokens) of the documents in wanted."""
+def shingle_sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, tokens) of the documents in pairs. Few ids are broadcast; more are joined with compressed texts."""
 
-    def run(batches):
-        for batch in batches:
-            for _, _, s in packed_slices(batch, lower=True):
-                sets = [x.view(np.int64) for x in s.shingle_sets(k)]
-                yield pa.RecordBatch.from_arrays([pa.array(s.ids), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "tokens"])
+    def batch_of(s):
+        return pa.RecordBatch.from_arrays([pa.array(s.ids), pa.array([x.view(np.int64) for x in s.shingle_sets(k)], pa.list_(pa.int64()))], ["doc_id", "tokens"])
+
+    def plain(batches):
+        yield from (batch_of(s) for batch in batches for s in slices(batch, lower=True))
 
-    return packed_text(docs).join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, tokens array<long>")
+    def packed(batches):
+        yield from (batch_of(s) for batch in batches for _, _, s in packed_slices(batch, lower=True))
+
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    schema = "doc_id long, tokens array<long>"
+    if wanted.count() <= BROADCAST_IDS:
+        return docs.join(F.broadcast(wanted), "doc_id", "left_semi").mapInArrow(plain, schema)
+    return packed_text(docs).join(wanted, "doc_id", "left_semi").mapInArrow(packed, schema)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -112,12 +136,10 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         frequent, rank = spread.value
         for s in slices(batch, lower=True):
             ids, keys = [], []
-            for doc, tokens in zip(s.ids.tolist(), s.shingle_sets(k), strict=True):
-                for order, seed in enumerate(ORDER_SEEDS if len(tokens) else ()):
-                    # the order's number is kept in the lowest bit of a key
-                    p = (prefix(tokens, seed, percent, frequent, rank) & ~U64(1)) | U64(order)
-                    ids.append(np.full(len(p), doc, np.int64))
-                    keys.append(p)
+            for order, first in enumerate(prefixes(list(s.shingle_sets(k)), percent, frequent, rank)):
+                # the order's number is kept in the lowest bit of a key
+                keys += [(p & ~U64(1)) | U64(order) for p in first]
+                ids += [np.full(len(p), doc, np.int64) for doc, p in zip(s.ids.tolist(), first, strict=True)]
             if keys:
                 keys, ids = np.concatenate(keys), np.concatenate(ids)
                 # the key ranges go by the high bits, which mix() spreads evenly
@@ -135,19 +157,27 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     first = live.where("key & 1 = 0")
     group = first.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("key", "hub")
     token = materialize(first.join(group, "key").select("key", "hub", "doc_id", "n", "least"), "tokens")
-    others = materialize(live.where("key & 1 = 1").groupBy("doc_id").agg(F.collect_list("key").alias("other"), F.max("n").alias("n"), F.min("least").alias("least")), "others")
+    owned = materialize(live.groupBy("doc_id").agg(F.collect_list("key").alias("keys"), F.max("n").alias("n"), F.min("least").alias("least")), "owned")
 
     def candidates(pairs: DataFrame) -> DataFrame:
-        """Pairs that the sizes and the other orders allow."""
-        left = others.select(F.col("doc_id").alias("a"), F.col("other").alias("o1"), F.col("n").alias("n1"), F.col("least").alias("l1"))
-        right = others.select(F.col("doc_id").alias("b"), F.col("other").alias("o2"), F.col("n").alias("n2"), F.col("least").alias("l2"))
+        """Pairs that the sizes allow and, under every order, the number of common prefix tokens.
+
+        The set whose prefix ends first shares all it can with the other in the two prefixes and its own rest. Which
+        one that is isn't kept, so the longer rest counts.
+        """
+        left = owned.select(F.col("doc_id").alias("a"), F.col("keys").alias("o1"), F.col("n").alias("n1"), F.col("least").alias("l1"))
+        right = owned.select(F.col("doc_id").alias("b"), F.col("keys").alias("o2"), F.col("n").alias("n2"), F.col("least").alias("l2"))
         near = (100 * F.col("n1") >= percent * F.col("l2")) & (100 * F.col("n2") >= percent * F.col("l1"))
-        return pairs.join(left, "a").join(right, "b").where(near & F.arrays_overlap("o1", "o2")).select("a", "b")
+        least = F.expr(f"ceil({percent} * (l1 + l2) / {100 + percent})")
+        rest = F.expr(f"ceil({percent} * greatest(n1, n2) / 100) - 1")
+        both = pairs.join(left, "a").join(right, "b").where(near).withColumn("common", F.array_intersect("o1", "o2"))
+        for order in range(len(ORDER_SEEDS)):
+            shared = F.expr(f"size(filter(common, x -> x & 1 = {order}))")
+            both = both.where((shared > 0) & (shared + rest >= least))
+        return both.select("a", "b")
 
     to_hub = materialize(candidates(token.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()), "hubs")
-    wanted = token.select("doc_id").distinct()
-    sets = materialize(shingle_sets(docs, wanted, k), "shingles")
-    found = materialize(_linked(to_hub, sets, percent), "links")
+    found = materialize(_linked(to_hub, materialize(shingle_sets(docs, to_hub, k), "shingles"), percent), "links")
     part = connected_components(found)
 
     parted = token.join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part"), "n", "least")
@@ -156,8 +186,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     x = parted.select("key", F.col("doc_id").alias("a"), F.col("part").alias("pa"), F.col("n").alias("n1"), F.col("least").alias("l1"))
     y = parted.select("key", F.col("doc_id").alias("b"), F.col("part").alias("pb"), F.col("n").alias("n2"), F.col("least").alias("l2"))
     apart = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & (100 * F.col("n1") >= percent * F.col("l2")) & (100 * F.col("n2") >= percent * F.col("l1")))
-    rest = candidates(apart.select("a", "b").distinct().join(to_hub, ["a", "b"], "left_anti"))
-    more = materialize(_linked(rest, sets, percent), "links")
+    rest = materialize(candidates(apart.select("a", "b").distinct().join(to_hub, ["a", "b"], "left_anti")), "rest")
+    more = materialize(_linked(rest, materialize(shingle_sets(docs, rest, k), "shingles"), percent), "links")
     links = found.union(more)
     component = connected_components(links)
 
