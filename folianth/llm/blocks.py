@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from folianth.llm.store import partitions
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Key ranges for each shuffle partition, so that hashing ranges to partitions stays even.
 RANGES_PER_PARTITION = 4
 
@@ -200,60 +200,70 @@ def runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
             yield int(values[a]), a, b
 
 
+#: Gives (doc ids, keys) of each slice of a batch.
 Extract = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]
 
 
+def grouped(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+
 def repeated_keys(docs: DataFrame, extract: Extract) -> DataFrame:
     """(doc_id, key) for every key that two or more documents have.
 
-    docs: (doc_id, text). extract gives (doc ids, keys) of a slice, each pair once. First, each key range gets every
-    slice's distinct keys and finds the repeated ones; a key of a third of all documents comes once a slice. Then those
-    are joined with blocks of (key, document) by range. Join rows are blocks of bounded size, so Spark can split a range
-    that one frequent key makes large.
+    docs: (doc_id, text). extract gives (doc ids, keys) of a slice, each pair once. What several documents of a slice
+    share is known to be repeated, so those pairs need no check; they go to parts of their own, by slice. A key that one
+    document of the slice has goes to its key range with the document, a shared one without. So even a key of a third
+    of all documents comes to its range once a slice, and a range holds a bounded share of the hash space.
     """
     n = key_ranges(docs)
+    types, names = [pa.int32(), pa.binary(), pa.binary(), pa.binary()], ["part", "keys", "ids", "shared"]
 
-    def distinct(batches):
-        for batch in batches:
-            for _, keys in extract(batch):
-                u, count = np.unique(keys, return_counts=True)
-                rows = []
-                for r, a, b in runs(range_of(u, n)):
-                    many = count[a:b] > 1
-                    rows.append((r, u[a:b][~many].tobytes(), u[a:b][many].tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["part", "once", "more"])
-
-    def repeated(table: pa.Table) -> pa.Table:
-        once = np.frombuffer(b"".join(table["once"].to_pylist()), U64)
-        more = np.unique(np.frombuffer(b"".join(table["more"].to_pylist()), U64))
-        u, count = np.unique(once, return_counts=True)
-        single = u[count == 1]
-        found = np.union1d(u[count > 1], more)
-        del u, once, single
-        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "hot": pa.array([found.tobytes()], pa.binary())})
-
-    def owned(batches):
+    def deal(batches):
         for batch in batches:
             for ids, keys in extract(batch):
-                part = range_of(keys, n)
-                order = np.argsort(part, kind="stable")
-                keys, ids, part = keys[order], ids[order], part[order]
-                rows = [(r, keys[a:b].tobytes(), ids[a:b].tobytes()) for r, a, b in runs(part)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["part", "keys", "ids"])
-
-    def meet(batches):
-        for batch in batches:
-            for keys, ids, hot in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                keys, ids, hot = np.frombuffer(keys, U64), np.frombuffer(ids, np.int64), np.frombuffer(hot, U64)
-                if len(hot):
-                    at = np.searchsorted(hot, keys)
-                    at[at == len(hot)] = 0
-                    hit = hot[at] == keys
-                    if hit.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(keys[hit].view(np.int64))], ["doc_id", "key"])
-
-    hot = docs.mapInArrow(distinct, "part int, once binary, more binary").groupBy("part").applyInArrow(repeated, "part int, hot binary")
-    blocks = docs.mapInArrow(owned, "part int, keys binary, ids binary")
-    return blocks.join(hot, "part").select("keys", "ids", "hot").mapInArrow(meet, "doc_id long, key long")
+                if not len(keys):
+                    continue
+                order = np.argsort(keys, kind="stable")
+                keys, ids = keys[order], ids[order]
+                new = np.ones(len(keys), bool)
+                new[1:] = keys[1:] != keys[:-1]
+                one = new.copy()
+                one[:-1] &= new[1:]
+                known = ~one
+                rows = []
+                if known.any():
+                    rows.append((-1 - int(mix(ids[:1].view(U64))[0] % U64(n)), keys[known].tobytes(), ids[known].tobytes(), b""))
+                single, owner, shared = keys[one], ids[one], keys[new & known]
+                at = np.searchsorted(shared, _starts(n))
+                bounds = np.searchsorted(single, _starts(n))
+                at, bounds = [*at.tolist(), len(shared)], [*bounds.tolist(), len(single)]
+                for r in range(n):
+                    if bounds[r + 1] > bounds[r] or at[r + 1] > at[r]:
+                        rows.append((r, single[bounds[r] : bounds[r + 1]].tobytes(), owner[bounds[r] : bounds[r + 1]].tobytes(), shared[at[r] : at[r + 1]].tobytes()))
+                yield grouped(rows, types, names)
+
+    def judge(table: pa.Table) -> pa.Table:
+        keys = np.frombuffer(b"".join(table["keys"].to_pylist()), U64)
+        ids = np.frombuffer(b"".join(table["ids"].to_pylist()), np.int64)
+        if table["part"][0].as_py() >= 0:
+            shared = np.unique(np.frombuffer(b"".join(table["shared"].to_pylist()), U64))
+            order = np.argsort(keys, kind="stable")
+            keys, ids = keys[order], ids[order]
+            hit = np.zeros(len(keys), bool)
+            same = keys[1:] == keys[:-1]
+            hit[1:] |= same
+            hit[:-1] |= same
+            if len(shared):
+                at = np.searchsorted(shared, keys)
+                at[at == len(shared)] = 0
+                hit |= shared[at] == keys
+            keys, ids = keys[hit], ids[hit]
+        return pa.table({"doc_id": pa.array(ids), "key": pa.array(keys.view(np.int64))})
+
+    return docs.mapInArrow(deal, "part int, keys binary, ids binary, shared binary").groupBy("part").applyInArrow(judge, "doc_id long, key long")
+
+
+def _starts(n: int) -> np.ndarray:
+    """The least key of each key range."""
+    return np.array([-(-(r << 32) // n) << 32 for r in range(n)], U64)

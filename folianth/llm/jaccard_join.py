@@ -14,9 +14,9 @@ from folianth.llm.components import connected_components
 from folianth.llm.store import materialize
 
 #: Shingles that at least this many documents of a slice share are reported as frequent.
-LOCAL_FREQUENT = 8
+LOCAL_FREQUENT = 2
 #: Bound of the broadcast list of frequent shingles. It only shapes the token order, never what is found.
-FREQUENT_LIMIT = 1 << 16
+FREQUENT_LIMIT = 1 << 19
 #: So many document ids are broadcast at most (8 MB).
 BROADCAST_IDS = 1 << 20
 #: One seed for each global order.
@@ -38,8 +38,9 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
                 if many.any():
                     yield pa.RecordBatch.from_arrays([pa.array(u[many].view(np.int64)), pa.array(c[many].astype(np.int64))], ["key", "n"])
 
-    top = docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT_LIMIT).collect()
-    keys = np.array([r.key for r in top], np.int64).view(U64)
+    counts = docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    top = counts.where("n > 2").orderBy(F.desc("n"), "key").limit(FREQUENT_LIMIT).toArrow()
+    keys = top["key"].to_numpy().view(U64)
     rank = np.arange(len(keys), 0, -1)  # the most frequent comes last in every order
     by = np.argsort(keys)
     return keys[by], rank[by]

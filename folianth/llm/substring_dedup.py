@@ -6,12 +6,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folianth.llm.blocks import U64, Slice, ids_and_texts, key_ranges, packed_slices, packed_text, range_of, repeated_keys, runs, slices, unpack
-from folianth.llm.store import materialize
+from folianth.llm.blocks import U64, Slice, ids_and_texts, grouped, key_ranges, packed_slices, packed_text, range_of, repeated_keys, slices, unpack
+
+#: Passages that a task gathers before it sends them; those that it meets again meanwhile are sent once.
+HELD_PASSAGES = 60_000
 
 
 class SuffixAutomaton:
@@ -111,9 +112,10 @@ def substring_dedup(docs: DataFrame, window: int = 13, k: int = 5) -> DataFrame:
 
     Suffix automata of all documents can't be broadcast: each pass over the documents would serve one shard, which is
     quadratic in the corpus. So reference shards are cut by content. Each window belongs to the shard of its least
-    k-word shingle; only the passages whose shingle occurs in two documents are sent there, each distinct passage once
-    a slice. A shard builds its automaton from distinct passages in document order and streams them for matching
-    statistics; documents then fetch the results of their passages.
+    k-word shingle; only passages whose shingle occurs in two documents are sent there. A task that meets a passage in
+    several documents knows that it goes from all but the smallest, and sends it once, with that one; so a passage of a
+    third of all documents doesn't crowd its shard. A shard builds its automaton from distinct passages in document
+    order and streams them for matching statistics.
     """
     docs = ids_and_texts(docs)
     n = key_ranges(docs)
@@ -133,14 +135,32 @@ def substring_dedup(docs: DataFrame, window: int = 13, k: int = 5) -> DataFrame:
 
     hot = repeated_keys(docs, extract).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
-    names = ["part", "words", "lengths", "docs", "seg", "seg_doc", "seg_pos"]
+    names = ["part", "table", "words", "lengths", "docs", "places", "offsets"]
+    types = [pa.int32()] + [pa.binary()] * 6
+
+    def sent(parts: dict[int, dict[bytes, list]], covered: list[tuple[int, int, int]]):
+        """Rows of the passages, and those spans that are known to go. A passage's words are numbers in a table."""
+        rows = []
+        for p, contents in parts.items():
+            table, words = np.unique(np.frombuffer(b"".join(contents), U64), return_inverse=True)
+            lengths = np.array([len(c) // 8 for c in contents], np.int32)
+            places = [len(c) - 1 for c in contents.values()]
+            offsets = [o for c in contents.values() for o in c[1:]]
+            small = np.uint16 if len(table) <= 1 << 16 else np.uint32
+            rows.append((p, table.tobytes(), words.astype(small).tobytes(), lengths.tobytes(), np.array([c[0] for c in contents.values()], np.int64).tobytes(), np.array(places, np.int32).tobytes(), np.array(offsets, np.int32).tobytes()))
+        if covered:
+            doc, start, end = (np.array(x, np.int64) for x in zip(*covered, strict=True))
+            rows.append((-1 - int(doc[0] % n), b"", b"", b"", doc.tobytes(), start.astype(np.int32).tobytes(), end.astype(np.int32).tobytes()))
+        return grouped(rows, types, names)
 
     def passages(batches):
+        parts: dict[int, dict[bytes, list]] = {}
+        covered: list[tuple[int, int, int]] = []
+        held = 0
         for batch in batches:
             lists = batch.column(2)
             for a, b, s in packed_slices(batch):
-                wanted = np.unique(lists.slice(a, b - a).flatten().to_numpy(zero_copy_only=False)).view(U64)
-                wanted.sort()
+                wanted = np.unique(lists.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).view(U64))
                 start, at, key = anchors(s, window, k)
                 if not len(start) or not len(wanted):
                     continue
@@ -155,63 +175,72 @@ def substring_dedup(docs: DataFrame, window: int = 13, k: int = 5) -> DataFrame:
                 hi = np.concatenate([edge, [len(start)]]) - 1
                 part = range_of(key[lo], n)
                 begin, end = start[lo], start[hi] + window
-                rows: dict[int, list] = {}
                 ids = s.ids[s.doc[begin]]
                 offset = begin - s.first[s.doc[begin]]
                 for p, x, y, d, o in zip(part.tolist(), begin.tolist(), end.tolist(), ids.tolist(), offset.tolist(), strict=True):
                     content = s.hash[x:y].tobytes()
-                    row = rows.setdefault(p, [{}, [], [], []])
-                    row[0][content] = min(d, row[0].get(content, d))
-                    row[1].append(xxhash.xxh3_64_intdigest(content))
-                    row[2].append(d)
-                    row[3].append(o)
-                out = [(p, b"".join(r[0]), np.array([len(c) // 8 for c in r[0]], np.int32).tobytes(), np.array(list(r[0].values()), np.int64).tobytes(), np.array(r[1], U64).tobytes(), np.array(r[2], np.int64).tobytes(), np.array(r[3], np.int32).tobytes()) for p, r in rows.items()]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary() if i else pa.int32()) for i in range(7)], names)
+                    contents = parts.setdefault(p, {})
+                    have = contents.get(content)
+                    if have is None:
+                        contents[content] = [d, o]
+                        held += 1
+                    elif have[0] == d:
+                        have.append(o)
+                    elif have[0] < d:
+                        covered.append((d, o, o + y - x))
+                    else:
+                        covered.extend((have[0], z, z + y - x) for z in have[1:])
+                        contents[content] = [d, o]
+                if held + len(covered) >= HELD_PASSAGES:
+                    yield sent(parts, covered)
+                    parts, covered, held = {}, [], 0
+        if parts or covered:
+            yield sent(parts, covered)
 
     def judge(table: pa.Table) -> pa.Table:
-        first: dict[bytes, int] = {}
-        for words, lengths, ids in zip(*(table[c].to_pylist() for c in ("words", "lengths", "docs")), strict=True):
-            at = 0
-            for m, d in zip(np.frombuffer(lengths, np.int32).tolist(), np.frombuffer(ids, np.int64).tolist(), strict=True):
-                content = words[at : at + 8 * m]
-                at += 8 * m
-                have = first.get(content)
-                if have is None or d < have:
-                    first[content] = d
-        automaton = SuffixAutomaton()
-        order = sorted(first.items(), key=lambda x: x[1])
-        lists = [np.frombuffer(c, U64).tolist() for c, _ in order]
-        for words, (_, d) in zip(lists, order, strict=True):
-            automaton.add(words, d)
-        found = [automaton.first_documents(words, window) for words in lists]
-        keys = np.array([xxhash.xxh3_64_intdigest(c) for c, _ in order], U64)
-        by = np.argsort(keys)
-        counts = np.array([len(found[i]) for i in by], np.int32)
-        flat = np.array([d for i in by for d in found[i]], np.int64)
-        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "key": pa.array([keys[by].tobytes()]), "counts": pa.array([counts.tobytes()]), "firsts": pa.array([flat.tobytes()])})
-
-    def covered(batches):
-        for batch in batches:
-            for seg, seg_doc, seg_pos, key, counts, firsts in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                seg, seg_doc, seg_pos = np.frombuffer(seg, U64), np.frombuffer(seg_doc, np.int64), np.frombuffer(seg_pos, np.int32)
-                key, counts, firsts = np.frombuffer(key, U64), np.frombuffer(counts, np.int32), np.frombuffer(firsts, np.int64)
-                offsets = np.concatenate([[0], np.cumsum(counts)])
-                i = np.searchsorted(key, seg)
-                size = counts[i]
-                owner = np.repeat(np.arange(len(seg)), size)
-                inner = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-                gone = firsts[offsets[i][owner] + inner] < seg_doc[owner]
-                owner, inner = owner[gone], inner[gone]
-                if not len(owner):
-                    continue
-                edge = np.flatnonzero((owner[1:] != owner[:-1]) | (inner[1:] != inner[:-1] + 1)) + 1
-                lo, hi = np.concatenate([[0], edge]), np.concatenate([edge, [len(owner)]]) - 1
-                start = seg_pos[owner[lo]] + inner[lo]
-                yield pa.RecordBatch.from_arrays([pa.array(seg_doc[owner[lo]]), pa.array(start.astype(np.int32)), pa.array((start + inner[hi] - inner[lo] + window).astype(np.int32))], ["doc_id", "start", "end"])
-
-    cut = materialize(packed_text(docs).join(hot, "doc_id").select("doc_id", "z", "keys").mapInArrow(passages, "part int, words binary, lengths binary, docs binary, seg binary, seg_doc binary, seg_pos binary"), "passages")
-    judged = cut.select("part", "words", "lengths", "docs").groupBy("part").applyInArrow(judge, "part int, key binary, counts binary, firsts binary")
-    spans = cut.select("part", "seg", "seg_doc", "seg_pos").join(judged, "part").select("seg", "seg_doc", "seg_pos", "key", "counts", "firsts").mapInArrow(covered, "doc_id long, start int, end int")
+        out_doc, out_start, out_end = [], [], []
+        if table["part"][0].as_py() < 0:
+            for name, out, kind in (("docs", out_doc, np.int64), ("places", out_start, np.int32), ("offsets", out_end, np.int32)):
+                out.append(np.frombuffer(b"".join(table[name].to_pylist()), kind))
+        else:
+            first: dict[bytes, int] = {}
+            found: list[tuple[bytes, int, list[int]]] = []
+            for lookup, words, lengths, ids, places, offsets in zip(*(table[c].to_pylist() for c in names[1:]), strict=True):
+                lookup, lengths = np.frombuffer(lookup, U64), np.frombuffer(lengths, np.int32)
+                flat = lookup[np.frombuffer(words, np.uint16 if len(lookup) <= 1 << 16 else np.uint32)].tobytes()
+                at = to = 0
+                offsets = np.frombuffer(offsets, np.int32).tolist()
+                for m, d, places_of in zip(lengths.tolist(), np.frombuffer(ids, np.int64).tolist(), np.frombuffer(places, np.int32).tolist(), strict=True):
+                    content = flat[at : at + 8 * m]
+                    at += 8 * m
+                    first[content] = min(d, first.get(content, d))
+                    found.append((content, d, offsets[to : to + places_of]))
+                    to += places_of
+            automaton = SuffixAutomaton()
+            order = sorted(first.items(), key=lambda x: x[1])
+            for content, d in order:
+                automaton.add(np.frombuffer(content, U64).tolist(), d)
+            firsts = {c: automaton.first_documents(np.frombuffer(c, U64).tolist(), window) for c in first}
+            spans = []
+            for content, d, offsets in found:
+                gone = [f < d for f in firsts[content]]
+                i = 0
+                while i < len(gone):
+                    if not gone[i]:
+                        i += 1
+                        continue
+                    j = i
+                    while j < len(gone) and gone[j]:
+                        j += 1
+                    spans += [(d, o + i, o + j - 1 + window) for o in offsets]
+                    i = j
+            for out, column in zip((out_doc, out_start, out_end), zip(*spans, strict=True), strict=False):
+                out.append(np.array(column, np.int64))
+        doc, start, end = (np.concatenate(x).astype(kind) if x else np.zeros(0, kind) for x, kind in ((out_doc, np.int64), (out_start, np.int32), (out_end, np.int32)))
+        return pa.table({"doc_id": doc, "start": start, "end": end})
+
+    cut = packed_text(docs).join(hot, "doc_id").select("doc_id", "z", "keys").mapInArrow(passages, "part int, table binary, words binary, lengths binary, docs binary, places binary, offsets binary")
+    spans = cut.groupBy("part").applyInArrow(judge, "doc_id long, start int, end int")
     spans = spans.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     return removed_words(packed_text(docs).join(spans, "doc_id", "left"))
 
