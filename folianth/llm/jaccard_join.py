@@ -19,6 +19,8 @@ LOCAL_FREQUENT = 2
 FREQUENT_LIMIT = 1 << 19
 #: So many document ids are broadcast at most (8 MB).
 BROADCAST_IDS = 1 << 20
+#: Groups of more documents carry their prefix tokens along, so that the join can filter by them. Either way is exact.
+LARGE_GROUP = 32
 #: One seed for each global order.
 ORDER_SEEDS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)
 
@@ -155,39 +157,43 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     reps = kinds.select(F.col("rep").alias("doc_id"), "n").groupBy("doc_id").agg(F.min("n").alias("least"), F.max("n").alias("n"))
     live = materialize(repeated_keys(docs, extract).join(reps, "doc_id"), "live")
 
-    first = live.where("key & 1 = 0")
+    first = live.where("key & 1 = 0").join(live.where("key & 1 = 0").groupBy("doc_id").agg(F.count("*").alias("lived")), "doc_id")
+    # tokens of the prefix that no other document has: they count against every partner
+    first = first.withColumn("lone", F.greatest(F.lit(0), F.expr(f"least - ceil({percent} * least / 100) + 1") - F.col("lived")))
     group = first.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("key", "hub")
-    token = materialize(first.join(group, "key").select("key", "hub", "doc_id", "n", "least"), "tokens")
+    token = materialize(first.join(group, "key").select("key", "hub", "doc_id", "n", "least", "lone"), "tokens")
     owned = materialize(live.groupBy("doc_id").agg(F.collect_list("key").alias("keys"), F.max("n").alias("n"), F.min("least").alias("least")), "owned")
 
-    def candidates(pairs: DataFrame) -> DataFrame:
-        """Pairs that the sizes allow and, under every order, the number of common prefix tokens.
+    # Sizes and, under every order, the number of common prefix tokens must allow a link. The set whose prefix ends first
+    # shares with the other what the prefixes share and its own rest; as it isn't known which that is, the longer counts.
+    sizes_allow = f"100 * n1 >= {percent} * l2 and 100 * n2 >= {percent} * l1"
+    need = f"ceil({percent} * (l1 + l2) / {100 + percent}) - (ceil({percent} * greatest(n1, n2) / 100) - 1)"
+    shared = [f"size(filter(array_intersect(o1, o2), x -> x & 1 = {order}))" for order in range(len(ORDER_SEEDS))]
+    tokens_allow = " and ".join(f"{c} >= greatest(1, {need})" for c in shared)
 
-        The set whose prefix ends first shares all it can with the other in the two prefixes and its own rest. Which
-        one that is isn't kept, so the longer rest counts.
-        """
+    def candidates(pairs: DataFrame) -> DataFrame:
         left = owned.select(F.col("doc_id").alias("a"), F.col("keys").alias("o1"), F.col("n").alias("n1"), F.col("least").alias("l1"))
         right = owned.select(F.col("doc_id").alias("b"), F.col("keys").alias("o2"), F.col("n").alias("n2"), F.col("least").alias("l2"))
-        near = (100 * F.col("n1") >= percent * F.col("l2")) & (100 * F.col("n2") >= percent * F.col("l1"))
-        least = F.expr(f"ceil({percent} * (l1 + l2) / {100 + percent})")
-        rest = F.expr(f"ceil({percent} * greatest(n1, n2) / 100) - 1")
-        both = pairs.join(left, "a").join(right, "b").where(near).withColumn("common", F.array_intersect("o1", "o2"))
-        for order in range(len(ORDER_SEEDS)):
-            shared = F.expr(f"size(filter(common, x -> x & 1 = {order}))")
-            both = both.where((shared > 0) & (shared + rest >= least))
-        return both.select("a", "b")
+        return pairs.join(left, "a").join(right, "b").where(f"{sizes_allow} and {tokens_allow}").select("a", "b")
 
     to_hub = materialize(candidates(token.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()), "hubs")
     found = materialize(_linked(to_hub, materialize(shingle_sets(docs, to_hub, k), "shingles"), percent), "links")
     part = connected_components(found)
 
-    parted = token.join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part"), "n", "least")
-    split = parted.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
+    parted = token.join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part"), "n", "least", "lone")
+    split = parted.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("size")).where("p < q").select("key", "size")
     parted = materialize(parted.join(split, "key"), "parted")
-    x = parted.select("key", F.col("doc_id").alias("a"), F.col("part").alias("pa"), F.col("n").alias("n1"), F.col("least").alias("l1"))
-    y = parted.select("key", F.col("doc_id").alias("b"), F.col("part").alias("pb"), F.col("n").alias("n2"), F.col("least").alias("l2"))
-    apart = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & (100 * F.col("n1") >= percent * F.col("l2")) & (100 * F.col("n2") >= percent * F.col("l1")))
-    rest = materialize(candidates(apart.select("a", "b").distinct().join(to_hub, ["a", "b"], "left_anti")), "rest")
+    cheap = f"key = key2 and a < b and pa <> pb and {sizes_allow} and {100 + percent} * (r1 + r2) <= {100 - percent} * (n1 + n2)"
+
+    def sides(rows: DataFrame, keys: list[str]) -> list[DataFrame]:
+        return [rows.select(F.col("key").alias(f"key{'2' * (i > 1)}"), F.col("doc_id").alias("ab"[i - 1]), F.col("part").alias("p" + "ab"[i - 1]), F.col("n").alias(f"n{i}"), F.col("least").alias(f"l{i}"), F.col("lone").alias(f"r{i}"), *[F.col(c).alias(f"o{i}") for c in keys]) for i in (1, 2)]
+
+    # pairs of small groups are made first and filtered once each; in large groups the join itself filters
+    x, y = sides(parted.where(F.col("size") <= LARGE_GROUP), [])
+    few = candidates(x.join(y, F.expr(cheap)).select("a", "b").distinct())
+    x, y = sides(parted.where(F.col("size") > LARGE_GROUP).join(owned.select("doc_id", "keys"), "doc_id"), ["keys"])
+    many = x.join(y, F.expr(f"{cheap} and {tokens_allow}")).select("a", "b")
+    rest = materialize(few.union(many).distinct().join(to_hub, ["a", "b"], "left_anti"), "rest")
     more = materialize(_linked(rest, materialize(shingle_sets(docs, rest, k), "shingles"), percent), "links")
     links = found.union(more)
     component = connected_components(links)
