@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from folianth.llm.blocks import U64, Slice, ids_and_texts, grouped, key_ranges, packed_slices, packed_text, range_of, repeated_keys, slices, unpack
 
 #: Passages that a task gathers before it sends them; those that it meets again meanwhile are sent once.
-HELD_PASSAGES = 60_000
+HELD_PASSAGES = 30_000
 
 
 class SuffixAutomaton:
