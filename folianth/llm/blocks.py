@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from folianth.llm.store import partitions
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Key ranges for each shuffle partition, so that hashing ranges to partitions stays even.
 RANGES_PER_PARTITION = 4
 

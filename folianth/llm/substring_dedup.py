@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from folianth.llm.blocks import U64, Slice, ids_and_texts, grouped, key_ranges, packed_slices, packed_text, range_of, repeated_keys, slices, unpack
 
+#: Shards of passages for each key range.
+PASSAGE_RANGES = 3
+#: Bytes that are kept of a word's hash; windows that differ are told apart by 13 words of them.
+WORD_BYTES = 6
 #: Passages that a task gathers before it sends them; those that it meets again meanwhile are sent once.
 HELD_PASSAGES = 30_000
 
@@ -84,6 +88,12 @@ class SuffixAutomaton:
         return out
 
 
+def _numbers(content: bytes) -> list[int]:
+    wide = np.zeros((len(content) // WORD_BYTES, 8), np.uint8)
+    wide[:, :WORD_BYTES] = np.frombuffer(content, np.uint8).reshape(-1, WORD_BYTES)
+    return wide.view(U64).ravel().tolist()
+
+
 def anchors(s: Slice, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each window in one document: its first word, and the position and key of its least k-word shingle.
 
@@ -118,7 +128,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, k: int = 5) -> DataFrame:
     order and streams them for matching statistics.
     """
     docs = ids_and_texts(docs)
-    n = key_ranges(docs)
+    n = PASSAGE_RANGES * key_ranges(docs)
 
     def extract(batch):
         for s in slices(batch):
@@ -135,22 +145,20 @@ def substring_dedup(docs: DataFrame, window: int = 13, k: int = 5) -> DataFrame:
 
     hot = repeated_keys(docs, extract).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
-    names = ["part", "table", "words", "lengths", "docs", "places", "offsets"]
-    types = [pa.int32()] + [pa.binary()] * 6
+    names = ["part", "words", "lengths", "docs", "places", "offsets"]
+    types = [pa.int32()] + [pa.binary()] * 5
 
     def sent(parts: dict[int, dict[bytes, list]], covered: list[tuple[int, int, int]]):
-        """Rows of the passages, and those spans that are known to go. A passage's words are numbers in a table."""
+        """Rows of the passages, and those spans that are known to go."""
         rows = []
         for p, contents in parts.items():
-            table, words = np.unique(np.frombuffer(b"".join(contents), U64), return_inverse=True)
-            lengths = np.array([len(c) // 8 for c in contents], np.int32)
+            lengths = np.array([len(c) // WORD_BYTES for c in contents], np.int32)
             places = [len(c) - 1 for c in contents.values()]
             offsets = [o for c in contents.values() for o in c[1:]]
-            small = np.uint16 if len(table) <= 1 << 16 else np.uint32
-            rows.append((p, table.tobytes(), words.astype(small).tobytes(), lengths.tobytes(), np.array([c[0] for c in contents.values()], np.int64).tobytes(), np.array(places, np.int32).tobytes(), np.array(offsets, np.int32).tobytes()))
+            rows.append((p, b"".join(contents), lengths.tobytes(), np.array([c[0] for c in contents.values()], np.int64).tobytes(), np.array(places, np.int32).tobytes(), np.array(offsets, np.int32).tobytes()))
         if covered:
             doc, start, end = (np.array(x, np.int64) for x in zip(*covered, strict=True))
-            rows.append((-1 - int(doc[0] % n), b"", b"", b"", doc.tobytes(), start.astype(np.int32).tobytes(), end.astype(np.int32).tobytes()))
+            rows.append((-1 - int(doc[0] % n), b"", b"", doc.tobytes(), start.astype(np.int32).tobytes(), end.astype(np.int32).tobytes()))
         return grouped(rows, types, names)
 
     def passages(batches):
@@ -177,8 +185,9 @@ def substring_dedup(docs: DataFrame, window: int = 13, k: int = 5) -> DataFrame:
                 begin, end = start[lo], start[hi] + window
                 ids = s.ids[s.doc[begin]]
                 offset = begin - s.first[s.doc[begin]]
+                words = np.ascontiguousarray(s.hash.view(np.uint8).reshape(-1, 8)[:, -WORD_BYTES:])
                 for p, x, y, d, o in zip(part.tolist(), begin.tolist(), end.tolist(), ids.tolist(), offset.tolist(), strict=True):
-                    content = s.hash[x:y].tobytes()
+                    content = words[x:y].tobytes()
                     contents = parts.setdefault(p, {})
                     have = contents.get(content)
                     if have is None:
@@ -205,22 +214,21 @@ def substring_dedup(docs: DataFrame, window: int = 13, k: int = 5) -> DataFrame:
         else:
             first: dict[bytes, int] = {}
             found: list[tuple[bytes, int, list[int]]] = []
-            for lookup, words, lengths, ids, places, offsets in zip(*(table[c].to_pylist() for c in names[1:]), strict=True):
-                lookup, lengths = np.frombuffer(lookup, U64), np.frombuffer(lengths, np.int32)
-                flat = lookup[np.frombuffer(words, np.uint16 if len(lookup) <= 1 << 16 else np.uint32)].tobytes()
+            for words, lengths, ids, places, offsets in zip(*(table[c].to_pylist() for c in names[1:]), strict=True):
+                lengths = np.frombuffer(lengths, np.int32)
                 at = to = 0
                 offsets = np.frombuffer(offsets, np.int32).tolist()
                 for m, d, places_of in zip(lengths.tolist(), np.frombuffer(ids, np.int64).tolist(), np.frombuffer(places, np.int32).tolist(), strict=True):
-                    content = flat[at : at + 8 * m]
-                    at += 8 * m
+                    content = words[at : at + WORD_BYTES * m]
+                    at += WORD_BYTES * m
                     first[content] = min(d, first.get(content, d))
                     found.append((content, d, offsets[to : to + places_of]))
                     to += places_of
             automaton = SuffixAutomaton()
             order = sorted(first.items(), key=lambda x: x[1])
             for content, d in order:
-                automaton.add(np.frombuffer(content, U64).tolist(), d)
-            firsts = {c: automaton.first_documents(np.frombuffer(c, U64).tolist(), window) for c in first}
+                automaton.add(_numbers(content), d)
+            firsts = {c: automaton.first_documents(_numbers(c), window) for c in first}
             spans = []
             for content, d, offsets in found:
                 gone = [f < d for f in firsts[content]]
@@ -239,7 +247,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, k: int = 5) -> DataFrame:
         doc, start, end = (np.concatenate(x).astype(kind) if x else np.zeros(0, kind) for x, kind in ((out_doc, np.int64), (out_start, np.int32), (out_end, np.int32)))
         return pa.table({"doc_id": doc, "start": start, "end": end})
 
-    cut = packed_text(docs).join(hot, "doc_id").select("doc_id", "z", "keys").mapInArrow(passages, "part int, table binary, words binary, lengths binary, docs binary, places binary, offsets binary")
+    cut = packed_text(docs).join(hot, "doc_id").select("doc_id", "z", "keys").mapInArrow(passages, "part int, words binary, lengths binary, docs binary, places binary, offsets binary")
     spans = cut.groupBy("part").applyInArrow(judge, "doc_id long, start int, end int")
     spans = spans.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     return removed_words(packed_text(docs).join(spans, "doc_id", "left"))
