@@ -1,0 +1,163 @@
+"""Scores of a text against its reference, and repairs that need a walk over characters; Arrow-batched functions."""
+
+from __future__ import annotations
+
+import difflib
+import re
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from folianth.functions import text as T
+
+_MARKS = "ً-ٰٟ"
+WORD = re.compile(rf"[^\W_]+(?:[{_MARKS}]+[^\W_]*)*")
+
+
+def normalized(s: str) -> str:
+    """The form in which texts are compared: compatibility forms, letters, no vowel marks or controls, Persian digits."""
+    s = unicodedata.normalize("NFKC", s).translate(str.maketrans({"ي": "ی", "ى": "ی", "ك": "ک", "ـ": None}))
+    s = re.sub(rf"[{_MARKS}‎‏‪-‮⁦-⁩]", "", s)
+    return s.translate(str.maketrans(T.LATIN_DIGITS + T.ARABIC_DIGITS, T.PERSIAN_DIGITS * 2))
+
+
+def _distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def score_pair(reference: str, other: str) -> tuple[int, int, int, int, list[tuple[str, str]]]:
+    """Characters, character errors, words, word errors and the stretches of words that differ."""
+    a, b = WORD.findall(normalized(reference)), WORD.findall(normalized(other))
+    chars = errors = wrong = 0
+    pairs = []
+    for op, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+        if op != "equal":
+            x, y = " ".join(a[i:j]), " ".join(b[k:m])
+            errors += _distance(x, y) if len(x) * len(y) <= 1500 * 1500 else max(len(x), len(y))
+            wrong += max(j - i, m - k)
+            pairs.append((x, y))
+    chars = sum(map(len, a)) + max(0, len(a) - 1)
+    return chars, errors, len(a), wrong, pairs
+
+
+def compare(pairs: DataFrame) -> DataFrame:
+    """pairs (id, reference, other) with counts of characters, words and errors, and the mismatches."""
+
+    @F.pandas_udf("struct<chars:long, char_errors:long, words:long, word_errors:long, mismatches:array<struct<ref:string, hyp:string>>>")
+    def score(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = [score_pair(x or "", y or "") for x, y in zip(a, b, strict=True)]
+        return pd.DataFrame({"chars": [r[0] for r in rows], "char_errors": [r[1] for r in rows], "words": [r[2] for r in rows], "word_errors": [r[3] for r in rows], "mismatches": [[{"ref": x, "hyp": y} for x, y in r[4]] for r in rows]})
+
+    return pairs.withColumn("s", score("reference", "other")).select("id", "s.*")
+
+
+def rates(scores: DataFrame) -> DataFrame:
+    """One row: error rates over all characters and words."""
+    return scores.agg(F.sum("chars").alias("chars"), F.sum("char_errors").alias("char_errors"), F.sum("words").alias("words"), F.sum("word_errors").alias("word_errors"))
+
+
+def confusions(scores: DataFrame, top: int = 20) -> DataFrame:
+    """The most frequent mismatches, ties by text."""
+    m = scores.select(F.explode("mismatches").alias("m")).groupBy(F.col("m.ref").alias("ref"), F.col("m.hyp").alias("hyp")).agg(F.count("*").alias("n"))
+    return m.orderBy(F.desc("n"), "ref", "hyp").limit(top)
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Ratcliff-Obershelp ratio."""
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, p or "", q or "", autojunk=False).ratio() for p, q in zip(x, y, strict=True)])
+
+    return ratio(a, b)
+
+
+def paired_quotes(s: str) -> str:
+    """Without guillemets that have no partner."""
+    open_, drop = [], set()
+    for i, c in enumerate(s):
+        if c == "«":
+            open_.append(i)
+        elif c == "»":
+            if open_:
+                open_.pop()
+            else:
+                drop.add(i)
+    drop.update(open_)
+    return "".join(c for i, c in enumerate(s) if i not in drop)
+
+
+def pair_quotes(s: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: None if t is None else paired_quotes(t))
+
+    return run(s)
+
+
+# Endings and prefixes that are written with a half-space.
+PLURAL = "ها های هایی هایم هایت هایش هایمان هایتان هایشان".split()
+COMPARATIVE = "تر ترین تری".split()
+AFTER_SILENT_H = "ام ای اش ایم اید اند".split()
+PREFIXES = "می نمی بی".split()
+
+
+def half_spaces(s: Column) -> Column:
+    """struct<text, n>: spaces before an ending or after a prefix become half-spaces, in a fold over the words."""
+    zwnj = "‌"
+    bare = lambda c: T.comparison_form(c)
+    words = "^[\\p{L}\\x{200c}]+"
+
+    def step(a: Column, t: Column) -> Column:
+        last = F.try_element_at(a["out"], F.lit(-1))
+        tail = bare(F.try_element_at(F.split(last, zwnj), F.lit(-1)))
+        after = bare(F.split(F.regexp_extract(t, words, 0), zwnj)[0])
+        fits = after.isin(*PLURAL, *COMPARATIVE) | (after.isin(*AFTER_SILENT_H) & tail.endswith("ه")) | (bare(last).isin(*PREFIXES) & ~last.contains(zwnj))
+        join = last.isNotNull() & last.rlike("[\\p{L}]$") & last.rlike("^[^\\p{L}]*[\\p{L}\\x{200c}]+$") & t.rlike(words) & (after != "") & (tail != "") & t.rlike("^[\\p{L}\\x{200c}]+[^\\p{L}]*$") & fits
+        glued = F.concat(F.slice(a["out"], F.lit(1), F.size(a["out"]) - 1), F.array(F.concat(last, F.lit(zwnj), t)))
+        return F.struct(F.when(join, glued).otherwise(F.concat(a["out"], F.array(t))).alias("out"), (a["n"] + F.when(join, 1).otherwise(0)).cast("int").alias("n"))
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("n"))
+    return F.aggregate(F.split(s, " ", -1), start, step, lambda a: F.struct(F.array_join(a["out"], " ").alias("text"), a["n"].alias("n")))
+
+
+# Letters that don't join to the next one, short words, and endings that are no words of their own.
+NONJOIN = "اآأإدذرزژوؤةء"
+SHORT = "و از در بر با تا را هر دو سه چه که به او تو ما من یک نه هم پس چو اگر".split()
+
+
+def split_joined(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, parts): distinct unknown words cut into the fewest vocabulary words, only after letters that don't join.
+
+    The vocabulary goes to the tasks as it is broadcast in the plan: keep it to everyday words (a bounded list).
+    """
+    pieces = {r.word for r in vocabulary.select("word").where("length(word) > 2").orderBy(F.desc("n"), "word").limit(50_000).collect()}
+    shared = words.sparkSession.sparkContext.broadcast(frozenset(pieces) | frozenset(SHORT))
+
+    def cut(w: str, known: frozenset) -> list[str] | None:
+        best: list[list[str] | None] = [None] * (len(w) + 1)
+        best[len(w)] = []
+        for i in range(len(w) - 1, -1, -1):
+            for j in range(i + 1, len(w) + 1):
+                rest = best[j]
+                if rest is not None and w[i:j] in known and (j == len(w) or w[j - 1] in NONJOIN):
+                    option = [w[i:j], *rest]
+                    key = lambda p: (len(p), sum(len(x) < 3 for x in p))
+                    if best[i] is None or key(option) < key(best[i]):
+                        best[i] = option
+        return best[0]
+
+    @F.pandas_udf("array<string>")
+    def run(x: pd.Series) -> pd.Series:
+        known = shared.value
+        return x.map(lambda w: cut(w, known))
+
+    unknown = words.select("word").distinct().join(vocabulary.select("word"), "word", "left_anti")
+    return unknown.withColumn("parts", run("word")).where("size(parts) > 1")
