@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import os
+import unicodedata
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -14,8 +16,11 @@ from pyspark.sql import functions as F
 from folianth.llm.blocks import bounded, ids_and_texts, text_buffers
 from folianth.llm.store import materialize
 
-#: Ids of so many different words are kept in a Python worker; the cache starts anew when it is full.
-CACHE_WORDS = 1 << 19
+#: Ids of so many different words, and of words without marks around them, are kept in a Python worker; a cache starts
+#: anew when it is full.
+CACHE_WORDS, CACHE_BARE = 1 << 20, 1 << 19
+#: Marks that are cut off a word's end. Between a letter and one of these the tokenizer always cuts.
+MARKS = b".,;:!?*#%$&)]}\""
 #: A packer gets about so many pieces. Each packer leaves some bins unfilled at its end.
 PIECES_PER_PACKER = 1 << 17
 
@@ -34,6 +39,8 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.bare: dict[bytes, bytes] = {b"": b""}
+        self.ends = {i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")}
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -42,11 +49,52 @@ class WordIds:
         return cls._open[path]
 
     def learn(self, words: set[bytes]) -> None:
+        """Make sure that known has these words."""
         if len(self.known) + len(words) > CACHE_WORDS:
             self.known.clear()
         new = [w for w in words if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[w] = b"".join(x.to_bytes(4, "little") for x in e.ids)
+        cores, tails = [], []
+        for w in new:
+            core = w.rstrip(MARKS)
+            if core.isalpha():  # ASCII letters, which the tokenizer lower-cases itself
+                cores.append(core.lower())
+                tails.append(w[len(core) :])
+            elif core is not w and _ends_as_letter(core):
+                cores.append(core)
+                tails.append(w[len(core) :])
+            else:
+                cores.append(w)
+                tails.append(b"")
+        self._learn_bare({*cores, *tails})
+        bare = self.bare
+        for w, core, tail in zip(new, cores, tails, strict=True):
+            self.known[w] = bare[core] + bare[tail] if tail else bare[core]
+
+    def _learn_bare(self, parts: set[bytes]) -> None:
+        if len(self.bare) + len(parts) > CACHE_BARE:
+            self.bare = {b"": b""}
+        parts = parts.difference(self.bare)
+        letters = [t for t in parts if t.isalpha() or t.decode().isalpha()]
+        marks = self.end_marks()
+        for at in range(0, len(letters), 4096):
+            some = letters[at : at + 4096]
+            # letters alone are one unit each, whose last token is one that ends a word
+            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, np.uint32)
+            ends = (4 * (np.flatnonzero(marks[ids]) + 1)).tolist()
+            if len(ends) == len(some) and ends[-1] == 4 * len(ids):
+                flat = ids.tobytes()
+                self.bare.update((t, flat[a:b]) for t, a, b in zip(some, [0, *ends[:-1]], ends, strict=True))
+        rest = [t for t in parts if t not in self.bare]
+        for t, e in zip(rest, self.tokenizer.encode_batch([t.decode() for t in rest], add_special_tokens=False), strict=True):
+            self.bare[t] = np.array(e.ids, np.uint32).tobytes()
+
+    def end_marks(self) -> np.ndarray:
+        """For each id whether its token ends a word."""
+        if isinstance(self.ends, set):
+            marks = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, bool)
+            marks[list(self.ends)] = True
+            self.ends = marks
+        return self.ends
 
     def encode(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.known.__getitem__, words))
@@ -81,6 +129,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id
     return ids_and_texts(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
+def _ends_as_letter(word: bytes) -> bool:
+    """Whether the last character is a letter, and still one when the tokenizer has composed and lower-cased it."""
+    last = word.decode()[-1:]
+    return last.isalpha() and unicodedata.normalize("NFC", last).lower().isalpha()
+
+
 class OpenBins:
     """Open sequences by free space; bit f of the set tells whether one with f free places is there."""
 
