@@ -45,25 +45,29 @@ class ProjectedTree:
         self.norms = np.sqrt(np.einsum("ij,ij->i", self.vectors, self.vectors))
         self.axes = np.random.default_rng(seed).standard_normal((vectors.shape[1], dims))
         self.points = (self.vectors / self.norms[:, None]) @ self.axes
-        self.leaves: list[np.ndarray] = []
-        self.low: list[np.ndarray] = []
-        self.high: list[np.ndarray] = []
-        self.children: list[tuple[int, int] | None] = []
+        self.order: list[np.ndarray] = []
+        self.filled = 0
+        #: For an inner node its children and their boxes, for a leaf its place in the vectors.
+        self.nodes: list[tuple] = []
         self._split(np.arange(len(self.points)))
-
-    def _split(self, rows: np.ndarray) -> int:
-        node = len(self.leaves)
-        p = self.points[rows]
-        self.leaves.append(rows)
-        self.low.append(p.min(axis=0))
-        self.high.append(p.max(axis=0))
-        self.children.append(None)
+        order = np.concatenate(self.order)
+        self.vectors, self.norms, self.members = self.vectors[order], self.norms[order], [self.members[i] for i in order.tolist()]
+        del self.points, self.order
+
+    def _split(self, rows: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        """Number, least and greatest corner of the node over these rows."""
+        p, node = self.points[rows], len(self.nodes)
+        low, high = p.min(axis=0), p.max(axis=0)
+        self.nodes.append(())
         if len(rows) > LEAF_ROWS:
-            axis = int(np.argmax(self.high[node] - self.low[node]))
-            by = rows[np.argsort(p[:, axis], kind="stable")]
-            half = len(by) // 2
-            self.children[node] = self._split(by[:half]), self._split(by[half:])
-        return node
+            by = rows[np.argsort(p[:, int(np.argmax(high - low))], kind="stable")]
+            left, right = self._split(by[: len(by) // 2]), self._split(by[len(by) // 2 :])
+            self.nodes[node] = (left[0], right[0], np.stack([left[1], right[1]]), np.stack([left[2], right[2]]))
+        else:
+            self.order.append(rows)
+            self.nodes[node] = (self.filled, self.filled + len(rows))
+            self.filled += len(rows)
+        return node, low, high
 
     def nearest(self, query: np.ndarray, own: int, k: int, bound: float) -> list[tuple[float, int]]:
         """The k best (cosine, id), best first. Leaves come by projected distance; it stops where a vector nearer than
@@ -73,24 +77,27 @@ class ProjectedTree:
         best: list[tuple[float, int]] = []  # (cosine, -id), the worst first
         todo = [(0.0, 0)]
         while todo:
-            distance, node = heapq.heappop(todo)
+            distance, number = heapq.heappop(todo)
             if len(best) == k and distance > bound * max(0.0, 2 - 2 * best[0][0]):
                 break
-            if children := self.children[node]:
-                for c in children:
-                    gap = np.maximum(0, np.maximum(self.low[c] - point, point - self.high[c]))
-                    heapq.heappush(todo, (float(gap @ gap), c))
+            node = self.nodes[number]
+            if len(node) == 4:
+                gap = np.maximum(node[2] - point, point - node[3])
+                np.maximum(gap, 0, out=gap)
+                near, far = np.einsum("ij,ij->i", gap, gap).tolist()
+                heapq.heappush(todo, (near, node[0]))
+                heapq.heappush(todo, (far, node[1]))
                 continue
-            rows = self.leaves[node]
-            scores = np.einsum("ij,j->i", self.vectors[rows], query) / (self.norms[rows] * norm)
-            for r, s in zip(rows.tolist(), scores.tolist(), strict=True):
-                if len(best) < k or s >= best[0][0]:
-                    for i in self.members[r][: k + 1].tolist():
-                        if i != own:
-                            if len(best) < k:
-                                heapq.heappush(best, (s, -i))
-                            elif (s, -i) > best[0]:
-                                heapq.heapreplace(best, (s, -i))
+            a, b = node
+            scores = np.einsum("ij,j->i", self.vectors[a:b], query) / (self.norms[a:b] * norm)
+            for r in np.flatnonzero(scores >= best[0][0]).tolist() if len(best) == k else range(b - a):
+                s = float(scores[r])
+                for i in self.members[a + r][: k + 1].tolist():
+                    if i != own:
+                        if len(best) < k:
+                            heapq.heappush(best, (s, -i))
+                        elif (s, -i) > best[0]:
+                            heapq.heapreplace(best, (s, -i))
         return [(s, -i) for s, i in sorted(best, key=lambda x: (-x[0], -x[1]))]
 
 
