@@ -178,7 +178,20 @@ def packed_text(docs: DataFrame) -> DataFrame:
     return ids_and_texts(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, z binary")
 
 
+#: Rows of an Arrow batch: the default of 10,000 long texts would weigh on both the executor and its Python workers.
+ROWS_PER_BATCH = 1000
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """Lower the session's Arrow batch size to ROWS_PER_BATCH where it is larger or has no bound."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= ROWS_PER_BATCH:
+        conf.set(name, str(ROWS_PER_BATCH))
+    return docs
+
+
 def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    docs = small_batches(docs)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

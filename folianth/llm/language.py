@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folianth.llm.blocks import bounded, text_buffers
+from folianth.llm.blocks import bounded, small_batches, text_buffers
 from folianth.llm.store import materialize
 
 #: Hashed space of byte trigrams.
@@ -150,7 +150,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], least: float
 def document_rows(docs: DataFrame) -> DataFrame:
     """Evidence of documents: lang is what is declared, source the host; they have no address."""
     none = F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.lower("lang").alias("declared"), none.alias("suffix"), F.col("source").cast("string").alias("host"), none.alias("domain"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.lower("lang").alias("declared"), none.alias("suffix"), F.col("source").cast("string").alias("host"), none.alias("domain"))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:

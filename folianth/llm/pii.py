@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from folianth.llm.blocks import ids_and_texts
+from folianth.llm.blocks import ids_and_texts, small_batches
 
 #: Kinds in the order in which ties are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -237,7 +237,7 @@ def personal_data(docs: DataFrame, field: Field | None = None, with_text: bool =
             yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], [*names[: 7 + with_text], *carried])
 
     carried = [f"carried_{c}" for c in carry or []]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(n) for c, n in zip(carry or [], carried, strict=True)])
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(n) for c, n in zip(carry or [], carried, strict=True)])
     schema = StructType.fromDDL("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", redacted string" * with_text)
     out = rows.mapInArrow(run, StructType([*schema, *rows.schema[2:]]))
     return out.withColumnsRenamed(dict(zip(carried, carry or [], strict=True)))
