@@ -13,6 +13,8 @@ from folianth.llm.pii import personal_data
 from folianth.llm.queries import tokenizer_path
 from folianth.llm.store import materialize
 
+#: The packing stage's Python workers keep so few words' ids, since they share an executor with all that ran before.
+CACHE_WORDS = 1 << 17
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -43,7 +45,7 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, tokenizer_path("word_bpe_49k.json"))
+    return pack(docs, tokenizer_path("word_bpe_49k.json"), cache_words=CACHE_WORDS)
 
 
 STAGES = [

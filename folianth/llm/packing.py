@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from folianth.llm.blocks import bounded, ids_and_texts, text_buffers
 from folianth.llm.store import materialize
 
-#: Ids of so many different words, and of words without marks around them, are kept in a Python worker; a cache starts
-#: anew when it is full.
-CACHE_WORDS, CACHE_BARE = 1 << 20, 1 << 19
+#: Ids of so many different words, and of half as many words without marks around them, are kept in a Python worker, some
+#: 350 bytes a word; a cache starts anew when it is full. Fewer take less memory and more time.
+CACHE_WORDS = 1 << 20
 #: Marks that are cut off a word's end. Between a letter and one of these the tokenizer always cuts.
 MARKS = b".,;:!?*#%$&)]}\""
 #: A packer gets about so many pieces. Each packer leaves some bins unfilled at its end.
@@ -31,26 +31,28 @@ class WordIds:
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its words in a row.
     """
 
-    _open: dict[str, WordIds] = {}
+    _open: dict[tuple[str, int], WordIds] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cache_words = cache_words
         self.known: dict[bytes, bytes] = {}
         self.bare: dict[bytes, bytes] = {b"": b""}
         self.ends = {i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")}
 
     @classmethod
-    def of(cls, path: str) -> WordIds:
-        if path not in cls._open:
-            cls._open[path] = cls(path)
-        return cls._open[path]
+    def of(cls, path: str, cache_words: int = CACHE_WORDS) -> WordIds:
+        key = path, cache_words
+        if key not in cls._open:
+            cls._open[key] = cls(path, cache_words)
+        return cls._open[key]
 
     def learn(self, words: set[bytes]) -> None:
         """Make sure that known has these words."""
-        if len(self.known) + len(words) > CACHE_WORDS:
+        if len(self.known) + len(words) > self.cache_words:
             self.known.clear()
         new = [w for w in words if w not in self.known]
         cores, tails = [], []
@@ -71,7 +73,7 @@ class WordIds:
             self.known[w] = bare[core] + bare[tail] if tail else bare[core]
 
     def _learn_bare(self, parts: set[bytes]) -> None:
-        if len(self.bare) + len(parts) > CACHE_BARE:
+        if len(self.bare) + len(parts) > self.cache_words // 2:
             self.bare = {b"": b""}
         parts = parts.difference(self.bare)
         letters = [t for t in parts if t.isalpha() or t.decode().isalpha()]
@@ -100,7 +102,7 @@ class WordIds:
         return b"".join(map(self.known.__getitem__, words))
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id: int = 1, with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, and the ids themselves on request.
 
     A document is its tokens and end_id; only one of more than limit ids is cut, into pieces of limit ids and a rest.
@@ -108,7 +110,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id
     """
 
     def run(batches):
-        ids_of = WordIds.of(tokenizer_path)
+        ids_of = WordIds.of(tokenizer_path, cache_words)
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
@@ -194,7 +196,7 @@ def best_fit(pieces: DataFrame, limit: int = 4096, open_bins: int = 4096, per_pa
     return spread.mapInArrow(run, StructType([*fields, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id: int = 1, open_bins: int = 4096, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id: int = 1, open_bins: int = 4096, with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Pieces of all documents with their sequence and offset. An empty table gives no rows; repeated rows are packed
     each; one long document is cut into many pieces; other columns are ignored."""
-    return best_fit(materialize(token_pieces(docs, tokenizer_path, limit, end_id, with_ids), "pieces"), limit, open_bins)
+    return best_fit(materialize(token_pieces(docs, tokenizer_path, limit, end_id, with_ids, cache_words), "pieces"), limit, open_bins)

@@ -92,6 +92,8 @@ def test_packing(spark, rows):
     path = queries.tokenizer_path("word_bpe_49k.json")
     rows = [*rows, (900, "It's a TEST<|endoftext|> don't 12 x́ " * 40)]
     out = packing.pack(frame(spark, rows), path, limit=64).collect()
+    small = packing.token_pieces(frame(spark, rows), path, limit=64, cache_words=16).collect()
+    assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in small) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in out)
     tokenizer, want = Tokenizer.from_file(path), []
     for d, t in rows:
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
