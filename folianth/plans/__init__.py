@@ -1 +1,3 @@
 
+
+from folianth.plans import checks as _checks  # noqa: F401  registers its queries

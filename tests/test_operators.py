@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from folianth.functions import text as T
+from folianth.operators import checks as C
 from folianth.operators import evaluate as E
 from folianth.operators import sequence as S
 
@@ -68,3 +69,19 @@ def test_reading_order(spark):
     rows = [("b", 1, 0, 100, 0, 400, 40), ("b", 1, 1, 500, 5, 900, 45), ("b", 1, 2, 100, 60, 900, 100)]
     out = S.reading_order(spark.createDataFrame(rows, "book string, page long, line_no int, x0 int, y0 int, x1 int, y1 int")).orderBy("place").collect()
     assert [(r.line_no, r.row) for r in out] == [(1, 0), (0, 0), (2, 1)]
+
+
+def test_guillemets_without_an_opening(spark):
+    rng = random.Random(5)
+    for _ in range(200):
+        s, open_, want = "".join(rng.choice("ab«»") for _ in range(12)), 0, []
+        for c in s:
+            want.append("،" if c == "»" and not open_ else c)
+            open_ = open_ + 1 if c == "«" else max(0, open_ - 1) if c == "»" else open_
+        assert C.unopened_as_commas(s).replace(" ", "") == "".join(want)
+    assert C.unopened_as_commas("سلام »دنیا «a»") == "سلام، دنیا «a»"
+
+
+def test_mirrored_parentheses(spark):
+    for s, want in (("(a( b", "(a) b"), ("(a(b(c) (d(", "(a)b(c) (d)"), ("(a) b", "(a) b"), ("a) (b(", "a) (b)")):
+        assert one(spark, C.mirrored_parentheses(F.col("s")), s=s) == want
