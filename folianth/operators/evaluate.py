@@ -16,11 +16,56 @@ _MARKS = "ً-ٰٟ"
 WORD = re.compile(rf"[^\W_]+(?:[{_MARKS}]+[^\W_]*)*")
 
 
-def normalized(s: str) -> str:
-    """The form in which texts are compared: compatibility forms, letters, no vowel marks or controls, Persian digits."""
-    s = unicodedata.normalize("NFKC", s).translate(str.maketrans({"ي": "ی", "ى": "ی", "ك": "ک", "ـ": None}))
-    s = re.sub(rf"[{_MARKS}‎‏‪-‮⁦-⁩]", "", s)
-    return s.translate(str.maketrans(T.LATIN_DIGITS + T.ARABIC_DIGITS, T.PERSIAN_DIGITS * 2))
+# Letters that are compared as others, and characters that can't be seen.
+SAME_LETTERS = {"ي": "ی", "ى": "ی", "ك": "ک", "ـ": "", "ۀ": "هٔ"}
+HAMZA_SEATS = {"أ": "ا", "إ": "ا", "ؤ": "و", "ة": "ه"}
+INVISIBLE = "\u200c\u200d\u200e\u200f\u202a-\u202e\u2066-\u2069\ufeff"
+_DIGITS = str.maketrans(T.LATIN_DIGITS + T.ARABIC_DIGITS, T.PERSIAN_DIGITS * 2)
+
+
+def normalized(s: str, keep_marks: bool = False) -> str:
+    """The form in which texts are compared: compatibility forms, letters, no controls, Persian digits but in words with
+    Latin letters; without vowel marks and hamza seats, unless marks are kept."""
+    s = unicodedata.normalize("NFKC", s).translate(str.maketrans(SAME_LETTERS))
+    if not keep_marks:
+        s = re.sub(f"[{_MARKS}]", "", s).translate(str.maketrans(HAMZA_SEATS))
+    s = re.sub(f"[{INVISIBLE}]", "", s)
+    return re.sub(r"\S+", lambda m: m[0] if re.search("[A-Za-z]", m[0]) else m[0].translate(_DIGITS), s)
+
+
+def comparison_text(s: Column, keep_marks: bool = False) -> Column:
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: None if t is None else normalized(t, keep_marks))
+
+    return run(s)
+
+
+def matched_lines(lines: DataFrame, other: DataFrame, least: float = 0.3, most_pairs: int = 250_000) -> DataFrame:
+    """(id, i, j, ratio): lines of a text and of another reading of it, matched one to one, the most similar first.
+
+    lines: id, i, text; other: id, j, text. Of equal ratios the later lines come first; a text of more than most_pairs
+    pairs of lines isn't matched, and neither are lines less similar than least."""
+
+    def match(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out, free_i, free_j = [], set(a["i"]), set(b["j"])
+        if len(a) * len(b) <= most_pairs:
+            scored = []
+            for j, y in zip(b["j"], b["text"], strict=True):
+                m = difflib.SequenceMatcher(None, "", y or "", autojunk=False)
+                for i, x in zip(a["i"], a["text"], strict=True):
+                    m.set_seq1(x or "")
+                    # the cheap upper bounds spare most of the alignments
+                    if m.real_quick_ratio() >= least and m.quick_ratio() >= least and (r := m.ratio()) >= least:
+                        scored.append((r, i, j))
+            for r, i, j in sorted(scored, reverse=True):
+                if i in free_i and j in free_j:
+                    free_i.discard(i)
+                    free_j.discard(j)
+                    out.append((key[0], i, j, r))
+        return pd.DataFrame(out, columns=["id", "i", "j", "ratio"])
+
+    return lines.groupBy("id").cogroup(other.groupBy("id")).applyInPandas(match, "id long, i int, j int, ratio double")
 
 
 def _distance(a: str, b: str) -> int:

@@ -95,3 +95,31 @@ def box_pairs(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:
     iou = T.box_overlap([F.col(f"a_{c}") for c in names], [F.col(f"b_{c}") for c in names])
     pairs = left.join(right, "page").where("a_y0 < b_y1 and b_y0 < a_y1").withColumn("iou", iou).where(F.col("iou") >= least)
     return pairs.groupBy("page", "new_line").agg(F.max_by("old_line", F.struct("iou", -F.col("old_line"))).alias("old_line"))
+
+
+def carried_over(new: DataFrame, old: DataFrame, least: float = 0.5, moved: int = 4) -> DataFrame:
+    """(page, new_line, old_line, outcome): checked lines carried to a page's new lines by their boxes.
+
+    New lines choose in their order, each the old line that overlaps it most of those still there: kept where no side
+    moved by more than `moved`, else recheck. Old lines that nobody chose are lost. Candidates come from a join within
+    the page; only their choice, a page at a time, is made in Python."""
+    names = ("x0", "y0", "x1", "y1")
+    left = new.select("page", F.col("line_no").alias("new_line"), *[F.col(c).alias(f"a_{c}") for c in names])
+    right = old.select("page", F.col("line_no").alias("old_line"), *[F.col(c).alias(f"b_{c}") for c in names])
+    iou = T.box_overlap([F.col(f"a_{c}") for c in names], [F.col(f"b_{c}") for c in names])
+    still = F.greatest(*[F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in names]) <= moved
+    near = left.join(right, "page").where("a_y0 < b_y1 and b_y0 < a_y1").withColumn("iou", iou).where(F.col("iou") >= least)
+    near = near.select(F.col("page").cast("long").alias("page"), "new_line", "old_line", "iou", still.alias("still"))
+
+    def choose(pdf):
+        taken, rows = set(), []
+        for r in pdf.sort_values(["new_line", "iou", "old_line"], ascending=[True, False, True]).itertuples():
+            if r.old_line not in taken and (not rows or rows[-1][1] != r.new_line):
+                taken.add(r.old_line)
+                rows.append((r.page, r.new_line, r.old_line, "kept" if r.still else "recheck"))
+        import pandas as pd
+
+        return pd.DataFrame(rows, columns=["page", "new_line", "old_line", "outcome"])
+
+    chosen = near.groupBy("page").applyInPandas(choose, "page long, new_line int, old_line int, outcome string")
+    return old.select(F.col("page").cast("long").alias("page"), F.col("line_no").cast("int").alias("old_line")).join(chosen, ["page", "old_line"], "left").select("page", "new_line", "old_line", F.coalesce("outcome", F.lit("lost")).alias("outcome"))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from folianth.functions import text as T
 from folianth.operators import checks as C
+from folianth.operators import evaluate as E
+from folianth.operators import joins as J
 from folianth.plans.queries import _AREA, _CLOSE, _COMMAS, _NORMAL, FA, fa, lines, lines_fa, query, table
 from folianth.sources.bridge import LINES_SQL
 
@@ -113,3 +115,24 @@ def s15_page_references(spark, d):
 SELECT event_type, CASE WHEN count(*) = 1 THEN max(user_id) END AS best FROM m WHERE v = least GROUP BY event_type""")
 def a24_only_best(spark, d):
     return C.only_best(table(spark, d, "events").select("event_type", "user_id", F.floor("value").alias("v")), "event_type", "user_id", "v")
+
+
+@query()
+def p13_comparison_text(spark, d):
+    return fa(spark, d).select("doc_id", E.comparison_text(F.col("s")).alias("s"))
+
+
+@query()
+def j07_matched_lines(spark, d):
+    rows = table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("id"), F.posexplode(F.split("text", " the ")).alias("i", "text"))
+    other = rows.select("id", F.col("i").bitwiseXOR(F.lit(1)).alias("j"), F.replace("text", F.lit("e"), F.lit("c")).alias("text"))
+    return E.matched_lines(rows, other)
+
+
+@query(f"""{LINES_SQL}, o AS (SELECT page, line_no, x0, y0 + s AS y0, x1, y1 + s AS y1, s FROM (SELECT *, CASE page % 3 WHEN 0 THEN 3 WHEN 1 THEN 9 ELSE 30 END AS s FROM lines))
+SELECT page, CASE WHEN s < 30 AND x1 > x0 THEN line_no END AS new_line, line_no AS old_line, CASE WHEN s = 30 OR x1 = x0 THEN 'lost' WHEN s = 3 THEN 'kept' ELSE 'recheck' END AS outcome FROM o""")
+def j05_carried_over(spark, d):
+    new = lines(spark, d)
+    shift = F.when(F.col("page") % 3 == 0, 3).when(F.col("page") % 3 == 1, 9).otherwise(30)
+    old = new.withColumn("s", shift).withColumn("y0", F.col("y0") + F.col("s")).withColumn("y1", F.col("y1") + F.col("s"))
+    return J.carried_over(new, old)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from folianth.functions import text as T
 from folianth.operators import checks as C
 from folianth.operators import evaluate as E
+from folianth.operators import joins as J
 from folianth.operators import sequence as S
 
 
@@ -85,3 +86,22 @@ def test_guillemets_without_an_opening(spark):
 def test_mirrored_parentheses(spark):
     for s, want in (("(a( b", "(a) b"), ("(a(b(c) (d(", "(a)b(c) (d)"), ("(a) b", "(a) b"), ("a) (b(", "a) (b)")):
         assert one(spark, C.mirrored_parentheses(F.col("s")), s=s) == want
+
+
+def test_comparison_text():
+    assert E.normalized("أب\u200cها ۀ 12 a1 كَ") == "ابها ه ۱۲ a1 ک"
+    assert E.normalized("كَ", keep_marks=True) == "کَ"
+
+
+def test_carried_over(spark):
+    names = "page long, line_no int, x0 int, y0 int, x1 int, y1 int"
+    new = spark.createDataFrame([(1, 0, 0, 0, 100, 40), (1, 1, 0, 12, 100, 52), (1, 2, 0, 100, 100, 140)], names)
+    old = spark.createDataFrame([(1, 0, 0, 10, 100, 50), (1, 1, 0, 101, 100, 141), (1, 2, 0, 300, 100, 340)], names)
+    got = {(r.new_line, r.old_line, r.outcome) for r in J.carried_over(new, old).collect()}
+    assert got == {(0, 0, "recheck"), (2, 1, "kept"), (None, 2, "lost")}
+
+
+def test_matched_lines(spark):
+    a = spark.createDataFrame([(1, 0, "abcdef"), (1, 1, "uvwxyz"), (2, 0, "abc")], "id long, i int, text string")
+    b = spark.createDataFrame([(1, 0, "uvwxy"), (1, 1, "abcdef"), (1, 2, "abcde"), (3, 0, "abc")], "id long, j int, text string")
+    assert {(r.id, r.i, r.j) for r in E.matched_lines(a, b).collect()} == {(1, 0, 1), (1, 1, 0)}
