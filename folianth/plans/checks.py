@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folianth.functions import text as T
 from folianth.operators import checks as C
 from folianth.operators import evaluate as E
+from folianth.operators import front as R
 from folianth.operators import joins as J
 from folianth.plans.queries import _AREA, _CLOSE, _COMMAS, _NORMAL, FA, fa, lines, lines_fa, query, table
 from folianth.sources.bridge import LINES_SQL
@@ -136,3 +137,13 @@ def j05_carried_over(spark, d):
     shift = F.when(F.col("page") % 3 == 0, 3).when(F.col("page") % 3 == 1, 9).otherwise(30)
     old = new.withColumn("s", shift).withColumn("y0", F.col("y0") + F.col("s")).withColumn("y1", F.col("y1") + F.col("s"))
     return J.carried_over(new, old)
+
+
+@query()
+def w14_title_and_author(spark, d):
+    return R.title_and_author(lines_fa(spark, d))
+
+
+@query()
+def j10_header_keys(spark, d):
+    return R.header_keys(lines(spark, d), 0.02)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from folianth.functions import text as T
 from folianth.operators import checks as C
 from folianth.operators import evaluate as E
+from folianth.operators import front as R
 from folianth.operators import joins as J
 from folianth.operators import sequence as S
 
@@ -105,3 +106,33 @@ def test_matched_lines(spark):
     a = spark.createDataFrame([(1, 0, "abcdef"), (1, 1, "uvwxyz"), (2, 0, "abc")], "id long, i int, text string")
     b = spark.createDataFrame([(1, 0, "uvwxy"), (1, 1, "abcdef"), (1, 2, "abcde"), (3, 0, "abc")], "id long, j int, text string")
     assert {(r.id, r.i, r.j) for r in E.matched_lines(a, b).collect()} == {(1, 0, 1), (1, 1, 0)}
+
+
+def book_lines(spark, books):
+    """Title pages (text, height, y0, conf) before three pages of ten lines."""
+    names = "book string, page int, line_no int, text string, x0 int, y0 int, x1 int, y1 int, width int, height int, conf int"
+    rows = []
+    for book, front in books.items():
+        rows += [(book, 1, i, t, 100, y, 900, y + h, 1000, 1400, c) for i, (t, h, y, c) in enumerate(front)]
+        rows += [(book, p, i, "این یک خط کامل از متن کتاب است", 100, 300 + 60 * i, 900, 340 + 60 * i, 1000, 1400, 90) for p in (2, 3, 4) for i in range(10)]
+    return spark.createDataFrame(rows, names)
+
+
+def test_title_and_author(spark):
+    books = {
+        "marked": [("نام کتاب : گندم", 40, 100, 90), ("نویسنده : م. مودب پور", 40, 200, 90)],
+        "above": [("گندم", 40, 100, 90), ("نویسنده: علی", 40, 200, 90)],
+        "large": [("گندم ۱۳۸۱", 80, 100, 90), ("علی رضایی", 40, 300, 90)],
+        "pen": [("م. مودب", 80, 100, 90), ("رکسانا", 90, 300, 90)],
+        "credit": [("نشر گندم", 80, 100, 90), ("رکسانا", 90, 300, 30)],
+    }
+    got = {r.book: (r.title, r.author) for r in R.title_and_author(book_lines(spark, books)).collect()}
+    assert got == {"marked": ("گندم", "م. مودب پور"), "above": ("گندم", "علی"), "large": ("گندم", "علی رضایی"), "pen": ("رکسانا", "م. مودب"), "credit": (None, None)}
+
+
+def test_header_keys(spark):
+    names = "book string, page int, line_no int, text string, y0 int, y1 int, height int"
+    texts = ["رکسانا کتابخانه"] * 4 + ["رکسائنا کتابخانه", "رکسانا کتاب", "سلام به همه", "رکسانا"]
+    rows = [("b", p, 0, t, 10, 50, 1400) for p, t in enumerate(texts, 1)]
+    got = {r.key for r in R.header_keys(spark.createDataFrame(rows, names)).collect()}
+    assert got == {"رکساناکتابخانه", "رکسائناکتابخانه", "رکساناکتاب"}
