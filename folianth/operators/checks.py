@@ -28,13 +28,12 @@ def debris(text: Column, conf: Column) -> Column:
 
 def kept_by_rules(lines: DataFrame, drop: str | None = None, least: float | None = None) -> DataFrame:
     """Lines that are no debris, don't hold the pattern and whose confidence, where known, isn't too low."""
-    out = lines.withColumn("clean", T.clean_line(F.col("text")))
-    out = out.where(~debris(F.col("clean"), F.col("conf")))
-    if drop:
-        out = out.where(~F.col("clean").rlike(drop))
+    out = lines
     if least is not None:
         out = out.where(F.col("conf").isNull() | (F.col("conf") >= least))
-    return out
+    # cleaning leaves the letters as they are, so debris goes before it
+    out = out.where(~debris(T.normalize_letters(F.col("text")), F.col("conf"))).withColumn("clean", T.clean_line(F.col("text")))
+    return out.where(~F.col("clean").rlike(drop)) if drop else out
 
 
 def title_form(s: Column) -> Column:

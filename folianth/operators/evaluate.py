@@ -30,6 +30,8 @@ def normalized(s: str, keep_marks: bool = False) -> str:
     if not keep_marks:
         s = re.sub(f"[{_MARKS}]", "", s).translate(str.maketrans(HAMZA_SEATS))
     s = re.sub(f"[{INVISIBLE}]", "", s)
+    if not re.search("[A-Za-z]", s):
+        return s.translate(_DIGITS)
     return re.sub(r"\S+", lambda m: m[0] if re.search("[A-Za-z]", m[0]) else m[0].translate(_DIGITS), s)
 
 

@@ -102,7 +102,7 @@ def carried_over(new: DataFrame, old: DataFrame, least: float = 0.5, moved: int
 
     New lines choose in their order, each the old line that overlaps it most of those still there: kept where no side
     moved by more than `moved`, else recheck. Old lines that nobody chose are lost. Candidates come from a join within
-    the page; only their choice, a page at a time, is made in Python."""
+    the page; only on pages where a line has several is the choice made in Python."""
     names = ("x0", "y0", "x1", "y1")
     left = new.select("page", F.col("line_no").alias("new_line"), *[F.col(c).alias(f"a_{c}") for c in names])
     right = old.select("page", F.col("line_no").alias("old_line"), *[F.col(c).alias(f"b_{c}") for c in names])
@@ -121,5 +121,9 @@ def carried_over(new: DataFrame, old: DataFrame, least: float = 0.5, moved: int
 
         return pd.DataFrame(rows, columns=["page", "new_line", "old_line", "outcome"])
 
-    chosen = near.groupBy("page").applyInPandas(choose, "page long, new_line int, old_line int, outcome string")
+    rivals = F.greatest(F.count("*").over(Window.partitionBy("page", "new_line")), F.count("*").over(Window.partitionBy("page", "old_line")))
+    near = near.withColumn("rivals", rivals).withColumn("most", F.max("rivals").over(Window.partitionBy("page")))
+    plain = near.where("most = 1").select("page", F.col("new_line").cast("int").alias("new_line"), F.col("old_line").cast("int").alias("old_line"), F.when(F.col("still"), "kept").otherwise("recheck").alias("outcome"))
+    contested = near.where("most > 1").drop("rivals", "most")
+    chosen = plain.union(contested.groupBy("page").applyInPandas(choose, "page long, new_line int, old_line int, outcome string"))
     return old.select(F.col("page").cast("long").alias("page"), F.col("line_no").cast("int").alias("old_line")).join(chosen, ["page", "old_line"], "left").select("page", "new_line", "old_line", F.coalesce("outcome", F.lit("lost")).alias("outcome"))
