@@ -72,19 +72,27 @@ def bag_recall(reference: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return both.groupBy(key).agg(F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("hits"), F.sum("n").alias("total"))
 
 
+#: Width of the strips in which gaps are looked for.
+STRIP = 256
+
+
 def column_gaps(words: DataFrame, share: float = 0.2) -> DataFrame:
     """(page, line_no, gap_start, gap_end): wide gaps between a line's words that enough lines of the page share.
 
     A gap is wide beyond 20 and 2.5 times the line's upper median gap, or beyond 2 word heights if it is the only one."""
     order = Window.partitionBy("page", "line_no").orderBy(F.desc("x1"))
-    line = Window.partitionBy("page", "line_no")
     gaps = words.withColumn("next", F.lead("x1").over(order)).where("next is not null").select("page", "line_no", F.col("next").alias("gap_start"), F.col("x0").alias("gap_end"), (F.col("y1") - F.col("y0")).alias("h"))
-    sized = gaps.withColumn("size", F.col("gap_end") - F.col("gap_start")).withColumn("sizes", F.array_sort(F.collect_list("size").over(line)))
-    n = F.size("sizes")
-    wide = sized.where(F.when(n == 1, F.col("size") > 2 * F.col("h")).otherwise(F.col("size") > F.greatest(F.lit(20.0), 2.5 * F.element_at("sizes", (n / 2).cast("int") + 1)))).select("page", "line_no", "gap_start", "gap_end")
+    size = F.col("gap_end") - F.col("gap_start")
+    sizes = F.array_sort(F.collect_list(size))
+    typical = gaps.groupBy("page", "line_no").agg(F.count("*").alias("n"), F.element_at(sizes, (F.size(sizes) / 2).cast("int") + 1).alias("middle"))
+    is_wide = F.when(F.col("n") == 1, size > 2 * F.col("h")).otherwise(size > F.greatest(F.lit(20.0), 2.5 * F.col("middle")))
+    wide = gaps.join(typical, ["page", "line_no"]).where(is_wide).select("page", "line_no", "gap_start", "gap_end")
     lines = words.groupBy("page").agg(F.countDistinct("line_no").alias("n_lines"))
-    other = wide.select(F.col("page").alias("page2"), F.col("line_no").alias("line2"), F.col("gap_start").alias("s2"), F.col("gap_end").alias("e2"))
-    shared = wide.join(other, F.expr("page = page2 and s2 < gap_end and gap_start < e2")).groupBy("page", "line_no", "gap_start", "gap_end").agg(F.countDistinct("line2").alias("shared"))
+    # gaps meet in the strips of the page that they touch, so long lines aren't compared gap by gap
+    strips = F.explode(F.sequence(F.floor(F.col("gap_start") / STRIP), F.floor((F.col("gap_end") - 1) / STRIP)))
+    wide = wide.withColumn("strip", strips)
+    other = wide.select(F.col("page").alias("page2"), F.col("line_no").alias("line2"), F.col("gap_start").alias("s2"), F.col("gap_end").alias("e2"), F.col("strip").alias("strip2"))
+    shared = wide.join(other, F.expr("page = page2 and strip = strip2 and s2 < gap_end and gap_start < e2")).groupBy("page", "line_no", "gap_start", "gap_end").agg(F.countDistinct("line2").alias("shared"))
     return shared.join(lines, "page").where(F.col("shared") >= F.greatest(F.lit(3.0), share * F.col("n_lines"))).select("page", "line_no", "gap_start", "gap_end", "shared")
 
 
