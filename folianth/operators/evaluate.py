@@ -177,34 +177,68 @@ def half_spaces(s: Column) -> Column:
 
 # Letters that don't join to the next one, short words, and endings that are no words of their own.
 NONJOIN = "اآأإدذرزژوؤةء"
+ENDINGS = (
+    "ها های هایی هایش هایم هایت هایشان ترین تر اند ایم اید ام اش ات ان ون ید یم ند ی گر گری شان مان تان هام هات هاش".split()
+)
 SHORT = "و از در بر با تا را هر دو سه چه که به او تو ما من یک نه هم پس چو اگر".split()
 
 
 def split_joined(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(word, parts): distinct unknown words cut into the fewest vocabulary words, only after letters that don't join.
 
-    The vocabulary goes to the tasks as it is broadcast in the plan: keep it to everyday words (a bounded list).
+    Pieces are SHORT and all vocabulary words of three letters or more but ENDINGS. A word's substrings that may be
+    pieces meet the vocabulary in a shuffled join, and each word is cut with its own pieces.
     """
-    pieces = {r.word for r in vocabulary.select("word").where("length(word) > 2").orderBy(F.desc("n"), "word").limit(50_000).collect()}
-    shared = words.sparkSession.sparkContext.broadcast(frozenset(pieces) | frozenset(SHORT))
-
-    def cut(w: str, known: frozenset) -> list[str] | None:
-        best: list[list[str] | None] = [None] * (len(w) + 1)
-        best[len(w)] = []
-        for i in range(len(w) - 1, -1, -1):
-            for j in range(i + 1, len(w) + 1):
-                rest = best[j]
-                if rest is not None and w[i:j] in known and (j == len(w) or w[j - 1] in NONJOIN):
-                    option = [w[i:j], *rest]
-                    key = lambda p: (len(p), sum(len(x) < 3 for x in p))
-                    if best[i] is None or key(option) < key(best[i]):
-                        best[i] = option
-        return best[0]
 
     @F.pandas_udf("array<string>")
-    def run(x: pd.Series) -> pd.Series:
-        known = shared.value
-        return x.map(lambda w: cut(w, known))
+    def substrings(x: pd.Series, longest: pd.Series) -> pd.Series:
+        return pd.Series([_possible_pieces(w, n) for w, n in zip(x, longest, strict=True)], dtype=object)
 
-    unknown = words.select("word").distinct().join(vocabulary.select("word"), "word", "left_anti")
-    return unknown.withColumn("parts", run("word")).where("size(parts) > 1")
+    @F.pandas_udf("array<string>")
+    def run(x: pd.Series, pieces: pd.Series) -> pd.Series:
+        return pd.Series([_fewest_pieces(w, set(p)) for w, p in zip(x, pieces, strict=True)], dtype=object)
+
+    unknown = words.select("word").where("word is not null").distinct().join(vocabulary.select("word"), "word", "left_anti")
+    known = vocabulary.select(F.col("word").alias("piece")).where(F.length("piece") > 2).where(~F.col("piece").isin(ENDINGS)).distinct()
+    longest = known.agg(F.coalesce(F.max(F.length("piece")), F.lit(0)).alias("longest"))
+    may_be = unknown.crossJoin(F.broadcast(longest)).select("word", F.explode(substrings("word", "longest")).alias("piece"))
+    own = may_be.join(known.hint("shuffle_merge"), "piece").groupBy("word").agg(F.collect_set("piece").alias("pieces"))
+    cut = unknown.join(own, "word", "left").withColumn("pieces", F.coalesce("pieces", F.array().cast("array<string>")))
+    return cut.select("word", run("word", "pieces").alias("parts")).where("size(parts) > 1")
+
+
+def _possible_pieces(w: str, longest: int) -> list[str]:
+    """Distinct substrings of 3 to longest letters between letters that don't join and the word's ends."""
+    cuts = [0, *(i for i in range(1, len(w)) if w[i - 1] in NONJOIN), len(w)]
+    out = set()
+    for k, i in enumerate(cuts):
+        for j in cuts[k + 1 :]:
+            if j - i > longest:
+                break
+            if j - i > 2:
+                out.add(w[i:j])
+    return list(out)
+
+
+def _fewest_pieces(w: str, pieces: set[str]) -> list[str] | None:
+    """The cut into the fewest of pieces and SHORT: of equal ones fewer of under three letters, then more of pieces, then
+    the earliest cuts; None if there is none."""
+    known = pieces.union(SHORT)
+    longest = max(map(len, known))
+    best: list[tuple[tuple[int, int, int], int] | None] = [None] * (len(w) + 1)
+    best[len(w)] = ((0, 0, 0), len(w))
+    for i in range(len(w) - 1, -1, -1):
+        for j in range(i + 1, min(len(w), i + longest) + 1):
+            rest = best[j]
+            if rest is not None and (j == len(w) or w[j - 1] in NONJOIN) and (x := w[i:j]) in known:
+                n, short, other = rest[0]
+                key = (n + 1, short + (j - i < 3), other - (x in pieces))
+                if best[i] is None or key < best[i][0]:
+                    best[i] = (key, j)
+    if best[0] is None:
+        return None
+    parts, i = [], 0
+    while i < len(w):
+        parts.append(w[i : best[i][1]])
+        i = best[i][1]
+    return parts

@@ -466,7 +466,8 @@ def p16_half_spaces(spark, d):
 
 @query()
 def p17_split_joined(spark, d):
-    return E.split_joined(asked_words(spark, d), a11_vocabulary(spark, d))
+    words = fa(spark, d).select(F.explode(F.split("s", "\\s+")).alias("w")).select(T.comparison_form(F.col("w")).alias("word")).where("word <> ''")
+    return E.split_joined(asked_words(spark, d).union(words), a11_vocabulary(spark, d))
 
 
 @query()

@@ -1,4 +1,5 @@
 import difflib
+import itertools
 import random
 
 from pyspark.sql import functions as F
@@ -146,3 +147,29 @@ def test_words_behind_the_twelfth(spark, tmp_path):
     assert len(parts) == 105 and min(r.x0 for r in parts) >= 0 and max(r.part for r in parts) == 9
     gaps = Q.QUERIES["j14_column_gaps_whole"](spark, str(tmp_path)).collect()
     assert {line: sum(r.line_no == line for r in gaps) for line in range(4)} == {0: 7, 1: 7, 2: 7, 3: 1}
+
+
+def test_split_joined_takes_every_word(spark):
+    """Rare words are pieces too, endings are none."""
+    letters = "بپتثجچحخسشصض"
+    rows = [("".join(x) + "د", 9) for x in itertools.islice(itertools.product(letters, repeat=5), 50_000)]
+    rows += [("گلزار", 3), ("ترین", 9)]
+    words = spark.createDataFrame([("گلزار" + rows[0][0],), (rows[0][0] + "ترین",)], "word string")
+    got = {(r.word, tuple(r.parts)) for r in E.split_joined(words, spark.createDataFrame(rows, "word string, n long")).collect()}
+    assert got == {("گلزار" + rows[0][0], ("گلزار", rows[0][0]))}
+
+
+def test_fewest_pieces():
+    rng = random.Random(4)
+
+    def cuts(w, known):
+        return [[w]] * (w in known) + [[w[:i], *p] for i in range(1, len(w)) if w[i - 1] in E.NONJOIN and w[:i] in known for p in cuts(w[i:], known)]
+
+    for _ in range(300):
+        word = "".join(rng.choice("ادربت") for _ in range(rng.randint(1, 10)))
+        some = {word[i : i + rng.randint(3, 5)] for i in range(len(word)) if rng.random() < 0.6} - set(E.ENDINGS)
+        pieces = {x for x in some if len(x) > 2}
+        want = cuts(word, pieces | set(E.SHORT))
+        got = E._fewest_pieces(word, pieces & set(E._possible_pieces(word, 5)))
+        key = lambda p: (len(p), sum(len(x) < 3 for x in p), -sum(x in pieces for x in p))  # noqa: B023, E731
+        assert (got is None) == (not want) and (got is None or key(got) == min(map(key, want)))
