@@ -12,8 +12,8 @@ from folianth.llm.store import materialize
 
 #: Hashed space of byte trigrams.
 FEATURES = 1 << 14
-#: Languages at most; the most frequent declared ones.
-MOST_LANGUAGES = 64
+#: Languages whose counts a task holds at once; then they are given out and begun anew.
+LANGUAGES_AT_ONCE = 64
 #: A text's evidence counts as that of at most so many trigrams, which aren't independent of each other.
 TRIGRAMS = 150.0
 #: Weights, in observations, of the next level of a smoothed distribution.
@@ -41,30 +41,39 @@ def trigram_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def fit_text_model(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and log probabilities of trigrams, from every row of (text, declared)."""
-    languages = [r.declared for r in rows.where("declared is not null and declared <> ''").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MOST_LANGUAGES).collect()]
-    number = {x: i for i, x in enumerate(languages)}
+    languages = [r.declared for r in rows.where("declared is not null and declared <> ''").groupBy("declared").count().orderBy(F.desc("count"), "declared").collect()]
     if not languages:
         return [], np.zeros((0, FEATURES))
+    shared = rows.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(languages)})
 
     def count(batches):
-        have = np.zeros((len(languages), FEATURES), np.int64)
+        number, have = shared.value, {}
+
+        def given_out():
+            for i, n in have.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at])], ["language", "feature", "n"])
+            have.clear()
+
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
-            names = [number.get(x, -1) for x in batch.column(1).to_pylist()]
+            names = np.array([number.get(x, -1) for x in batch.column(1).to_pylist()], np.int64)
             for a, b in bounded(offsets):
                 ids, doc, _ = trigram_ids(data, offsets[a : b + 1])
-                of = np.array(names[a:b])[doc]
-                ok = of >= 0
-                have += np.bincount(of[ok] * FEATURES + ids[ok], minlength=have.size).reshape(have.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(languages)), pa.int32()), pa.array([h.tobytes() for h in have])], ["language", "have"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in table["have"].to_pylist())
-        return pa.table({"language": pa.array([table["language"][0].as_py()], pa.int32()), "have": [total.tobytes()]})
+                of = names[a:b][doc]
+                order = np.argsort(of, kind="stable")
+                of, ids = of[order], ids[order]
+                found, starts = np.unique(of, return_index=True)
+                for i, x, y in zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(of)], strict=True):
+                    if i >= 0:
+                        if i not in have and len(have) >= LANGUAGES_AT_ONCE:
+                            yield from given_out()
+                        have[i] = have.get(i, 0) + np.bincount(ids[x:y], minlength=FEATURES)
+        yield from given_out()
 
     counts = np.zeros((len(languages), FEATURES))
-    for r in rows.select("text", "declared").mapInArrow(count, "language int, have binary").groupBy("language").applyInArrow(add, "language int, have binary").collect():
-        counts[r.language] = np.frombuffer(r.have, np.int64)
+    n = rows.select("text", "declared").mapInArrow(count, "language int, feature int, n long").groupBy("language", "feature").agg(F.sum("n").alias("n")).toArrow()
+    counts[n["language"].to_numpy(), n["feature"].to_numpy()] = n["n"].to_numpy()
     return languages, np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * FEATURES))
 
 
@@ -126,23 +135,26 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], least: float
     out = _joined(out, given_language("declared"), ["declared"])
     out = _joined(out, given_language("suffix"), ["suffix"])
 
-    def level(name: str, x: str, above: Column, weight: float) -> Column:
-        count = F.coalesce(F.element_at(F.col(name), F.lit(x)), F.lit(0.0))
+    # one expression over the array of languages, so that the plan doesn't grow with them
+    named, of_all = F.lit(languages), F.lit([prior[x] for x in languages])
+    not_met = F.lit([0.5 / (every.get(x, 0.0) + 1) for x in languages])
+
+    def level(name: str, x: Column, above: Column, weight: float) -> Column:
+        count = F.coalesce(F.element_at(F.col(name), x), F.lit(0.0))
         return (count + weight * above) / (F.coalesce(F.col(f"{name}_n"), F.lit(0.0)) + weight)
 
-    def met(column: str, x: str) -> Column:
-        unseen = F.lit(0.5 / (every.get(x, 0.0) + 1))
-        return F.when(F.col(column).isNull(), F.lit(0.0)).otherwise(F.log(F.coalesce(F.element_at(F.col(f"{column}_given"), F.lit(x)), unseen)))
+    def met(column: str, x: Column, i: Column) -> Column:
+        return F.when(F.col(column).isNull(), F.lit(0.0)).otherwise(F.log(F.coalesce(F.element_at(F.col(f"{column}_given"), x), not_met[i])))
 
     weight = F.least(F.col("evidence").cast("double"), F.lit(TRIGRAMS))
-    logs_of = []
-    for i, x in enumerate(languages):
-        host = level("by_host", x, level("by_domain", x, F.lit(prior[x]), DOMAIN_WEIGHT), HOST_WEIGHT)
-        logs_of.append(F.col("mean")[i] * weight + F.log(host) + met("declared", x) + met("suffix", x))
-    out = out.withColumn("logs", F.array(*logs_of)).withColumn("top", F.array_max("logs"))
+
+    def log_of(x: Column, i: Column) -> Column:
+        host = level("by_host", x, level("by_domain", x, of_all[i], DOMAIN_WEIGHT), HOST_WEIGHT)
+        return F.col("mean")[i] * weight + F.log(host) + met("declared", x, i) + met("suffix", x, i)
+
+    out = out.withColumn("logs", F.transform(named, log_of)).withColumn("top", F.array_max("logs"))
     out = out.withColumn("at", F.array_position("logs", F.col("top")).cast("int"))
     share = F.lit(1.0) / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    named = F.array(*[F.lit(x) for x in languages])
     likely = F.element_at("mean", F.col("at")) > -float(np.log(FEATURES))
     return out.select("id", F.element_at(named, F.col("at")).alias("language"), share.alias("probability"), "evidence", ((F.col("evidence") > 0) & (share >= least) & likely).alias("accepted"))
 

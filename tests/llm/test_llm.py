@@ -171,6 +171,18 @@ def test_language(spark):
     assert got[1] == "de"
 
 
+def test_language_models_every_declared_one(spark):
+    rng = random.Random(6)
+    names = [f"l{i:03}" for i in range(90)]
+    words = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for _ in names]
+    rows = [(100 * i + j, " ".join(rng.choices(words[i], k=30)), x if j else None, "s") for i, x in enumerate(names) for j in range(4)]
+    r = language.document_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    model = language.fit_text_model(r)
+    assert sorted(model[0]) == names and model[1].shape == (90, language.FEATURES)
+    got = {x.id: x for x in language.identify(r, model).collect()}
+    assert all(got[i].language == names[i // 100] and got[i].accepted for i, *_ in rows)
+
+
 def test_empty_tables(spark):
     none = frame(spark, [(1, "a")]).where("doc_id < 0")
     path = queries.tokenizer_path("word_bpe_49k.json")
