@@ -173,3 +173,10 @@ def test_fewest_pieces():
         got = E._fewest_pieces(word, pieces & set(E._possible_pieces(word, 5)))
         key = lambda p: (len(p), sum(len(x) < 3 for x in p), -sum(x in pieces for x in p))  # noqa: B023, E731
         assert (got is None) == (not want) and (got is None or key(got) == min(map(key, want)))
+
+
+def test_confusions_of_characters(spark):
+    pairs = spark.createDataFrame([(1, "alpha beta gamma", "alpha bata gamma"), (2, "one two three", "onetwo thre"), (3, "same", "same")], "id long, reference string, other string")
+    got = {(r.ref, r.hyp): r.n for r in E.confusions(E.compare(pairs)).collect()}
+    assert got == {("e", "a"): 1, ("e", ""): 1}
+    assert E.character_edits("abc", "xbcd") == [("", "d"), ("a", "x")] and E.character_edits("", "") == []
