@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from folianth.llm.blocks import ids_and_texts, small_batches
+from folianth.llm.blocks import small_batches
 
 #: Kinds in the order in which ties are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -28,8 +28,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]+ ?[(\[]at[)\]] ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", re.IGNORECASE)
 _DIGITS = re.compile(r"\(?[0-9](?:[\x20().-]{0,2}[0-9]){7,18}")
 _SOME = re.compile(r"[0-9@]|[(\[][aA][tT][)\]]")
-#: Documents at most that fit the field, those with the least hash of doc_id.
-FIT_ROWS = 4000
+#: The name under which pairs of like tokens are counted, beside those of shapes.
+PAIRS = "pairs"
 ROUNDS = 8
 
 
@@ -94,24 +94,30 @@ class Field:
 
     @classmethod
     def fit(cls, texts) -> Field:
-        """Counts over candidates: how often a shape is base data, and how often like tokens have the same kind."""
-        base, every = Counter(), Counter()
-        same = pairs = 1
-        for text in texts:
-            nodes = candidates(text)
-            alike: dict[str, list[int]] = defaultdict(list)
-            for a, b, kind in nodes:
-                s = cls.shape(text[a:b])
-                every[s] += 1
-                base[s] += kind >= 0
-                alike[_key(text[a:b])].append(kind)
-            for kinds in alike.values():
-                c = Counter(kinds)
-                pairs += len(kinds) - 1
-                same += max(c.values()) - 1
+        return cls.of_counts(field_counts(texts))
+
+    @classmethod
+    def of_counts(cls, counts: dict[str, tuple[int, int]]) -> Field:
         # an unlabelled token starts out as none: only agreement with others may outweigh its shape
-        odds = {s: min(-0.5, float(np.log((base[s] + 1) / (n - base[s] + 1)))) for s, n in every.items()}
-        return cls({s: max(-2.0, x) for s, x in odds.items()}, max(1.5, float(np.log((same + 1) / (pairs - same + 1)))))
+        odds = {s: min(-0.5, float(np.log((base + 1) / (n - base + 1)))) for s, (n, base) in counts.items() if s != PAIRS}
+        pairs, same = counts.get(PAIRS, (0, 0))
+        return cls({s: max(-2.0, x) for s, x in odds.items()}, max(1.5, float(np.log((same + 2) / (pairs - same + 1)))))
+
+
+def field_counts(texts) -> dict[str, tuple[int, int]]:
+    """Candidates of each shape and how many of them are base data; under PAIRS like tokens and how many agree in kind."""
+    every, base = Counter(), Counter()
+    for text in texts:
+        alike: dict[str, list[int]] = defaultdict(list)
+        for a, b, kind in candidates(text):
+            s = Field.shape(text[a:b])
+            every[s] += 1
+            base[s] += kind >= 0
+            alike[_key(text[a:b])].append(kind)
+        for kinds in alike.values():
+            every[PAIRS] += len(kinds) - 1
+            base[PAIRS] += max(Counter(kinds).values()) - 1
+    return {s: (n, base[s]) for s, n in every.items()}
 
 
 def candidates(text: str) -> list[tuple[int, int, int]]:
@@ -197,17 +203,20 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def fit_field(docs: DataFrame, rows: int = FIT_ROWS) -> Field:
-    ids = ids_and_texts(docs)
-    chosen = ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def fit_field(docs: DataFrame) -> Field:
+    """The field of the counts over the candidates of all documents."""
 
     def evidence(batches):
+        every, base = Counter(), Counter()
         for batch in batches:
-            texts = [t for t in batch.column(0).to_pylist() if t and _SOME.search(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([" ".join(t[a:b] for a, b, _ in candidates(t)) for t in texts], pa.string())], ["text"])
+            for s, (n, m) in field_counts(t for t in batch.column(0).to_pylist() if t and _SOME.search(t)).items():
+                every[s] += n
+                base[s] += m
+        yield pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64()), pa.array([base[s] for s in every], pa.int64())], ["shape", "n", "base"])
 
-    some = ids.join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(evidence, "text string").where("text <> ''").orderBy("text").toArrow()
-    return Field.fit(some["text"].to_pylist())
+    texts = small_batches(docs).select(F.col("text").cast("string").alias("text"))
+    counts = texts.mapInArrow(evidence, "shape string, n long, base long").groupBy("shape").agg(F.sum("n").alias("n"), F.sum("base").alias("base"))
+    return Field.of_counts({r.shape: (r.n, r.base) for r in counts.collect()})
 
 
 def personal_data(docs: DataFrame, field: Field | None = None, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
@@ -216,7 +225,7 @@ def personal_data(docs: DataFrame, field: Field | None = None, with_text: bool =
 
     Counts and base_sha256 are of the base spans, spans holds those and what the field adds. Places are code points, ends
     exclusive. Null and empty texts have no spans and the digest of nothing; rows without a doc_id and repeated rows are
-    judged each; other columns are ignored. The field is fitted on a bounded number of documents where none is given.
+    judged each; other columns are ignored. The field is fitted on all documents where none is given.
     """
     field = field or fit_field(docs)
     kept = {"field": field}

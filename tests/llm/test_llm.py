@@ -129,6 +129,18 @@ def test_personal_data(spark):
     assert list(pii._emails("a" * 700 + "@b.c"))[0] == (0, 704)
 
 
+def test_field_is_fitted_on_whole_texts(spark):
+    one = "4111 1111 1111 1111, 12345678901 and +1 (743) 555-3824 or 743 555 3824"
+    rows = [(i, one if i % 2 else f"{one}; a.b@c.de, 12345678901") for i in range(4100)] + [(5000, None), (5001, "")]
+    got, want = pii.fit_field(frame(spark, rows)), pii.Field.fit([t for _, t in rows if t])
+    assert (got.shapes, got.agree) == (want.shapes, want.agree)
+    counts = pii.field_counts([one])
+    assert counts == {"digits 16 parted": (1, 1), "digits 11 whole": (1, 0), "digits 11 parted": (1, 1), "digits 10 parted": (1, 0), pii.PAIRS: (0, 0)}
+    assert pii.fit_field(frame(spark, rows[-2:])).shapes == {}
+    many = pii.fit_field(frame(spark, [(i, "4111 1111 1111 1111, 4111111111111112") for i in range(4100)]))
+    assert many.shapes["digits 16 parted"] == -0.5 and many.shapes["digits 16 whole"] == -2.0
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     v = rng.standard_normal((1500, 16)).astype(np.float32)
