@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folianth.llm import decontaminate, jaccard_join, language, nearest, packing, pii, quality, queries, substring_dedup, token_counts, url_filter
+from folianth.llm import decontaminate, jaccard_join, language, nearest, packing, pii, quality, queries, store, substring_dedup, token_counts, url_filter
 
 DOCS = "doc_id long, text string, item_id string, words string, key string, n long"
 
@@ -38,8 +38,10 @@ def test_jaccard(spark, rows):
 
 
 def test_jaccard_large_groups(spark, rows, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "LARGE_GROUP", 2)
-    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+    """Many hub rounds, small units and ranges, hot keys from two rows on, compressed texts."""
+    for name, value in (("PAIRS_A_ROW", 0), ("HUB_ROUNDS", 2), ("BROADCAST_IDS", 0), ("UNIT_TOKENS", 500), ("RANGE_TOKENS", 200), ("HOT_ROWS", 2)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    monkeypatch.setattr(store, "HOT_ROWS", 2)
     got = jaccard_join.jaccard_join(frame(spark, rows), 3, 80).collect()
     assert sorted(map(tuple, got)) == sorted(jaccard_join.brute_force(rows, 3, 80))
 
