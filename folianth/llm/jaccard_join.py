@@ -22,8 +22,6 @@ BROADCAST_IDS = 1 << 20
 UNIT_TOKENS, RANGE_TOKENS = 1 << 20, 1 << 20
 #: One seed for each order by hash. The order that makes the candidates goes by rarity.
 ORDER_SEEDS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)
-#: Groups are compared with one member after another while more pairs than so many a row are left, so many times at most.
-PAIRS_A_ROW, HUB_ROUNDS = 8, 3
 
 #: A token in a unit is one number: 40 bits of its hash, 22 of its document's place, a bit for each order by hash.
 _FLAGS, _PLACES = len(ORDER_SEEDS), 22
@@ -224,14 +222,6 @@ def _chosen(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, list[DataFrame]
     return kept.mapInArrow(unpacked, "doc_id long, text binary"), [kept]
 
 
-def _linked(pairs: DataFrame, hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, exactly."""
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    met = hot_join(pairs.select("a", "b"), left, "a", hot).join(right, "b")
-    return met.withColumn("i", both).where(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b").distinct()
-
-
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -244,9 +234,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Candidates must share a first token under every order: by rarity, counted over all sets, and by two hashes. Under
     rarity a set whose own tokens fill its prefix has no candidates at all, so passages that many documents share make
-    none. In each token's group everyone is compared with one member, the hub; what that links is one part, and in the
-    next round only parts that are still apart are compared, with the next hub, until few pairs are left, which are all
-    made. Pairs are judged on their whole sets of 64-bit shingle hashes.
+    none. In each token's group everyone is first compared with one member, the hub: the one with
+    the least share of tokens of its own, such as the text that the others are edited from; what that links is one part. Then pairs are only made between parts, each at the first token that both have
+    and where enough is left behind it. Pairs are judged on their whole sets of 64-bit shingle hashes.
     """
     docs = ids_and_texts(docs).where("doc_id is not null")
     sizes = materialize(set_digests(docs, k).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int")), "sets")
@@ -286,45 +276,35 @@ def _links(docs: DataFrame, live: DataFrame, k: int, percent: int) -> DataFrame:
         """links and those of the pairs."""
         pairs = materialize(pairs.distinct(), "pairs")
         hot = hot_keys(pairs, "a", pairs.count())
-        left = live.select(F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.col("lost").alias("c1"), F.col("marks").alias("m1"))
-        right = live.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("lost").alias("c2"), F.col("marks").alias("m2"))
-        left = hot_join(pairs, left, "a", hot).join(right, "b").where(f"{sizes_allow} and {tokens_allow}").select("a", "b").distinct()
-        left = materialize(left, "candidates")
-        wanted = materialize(left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-        sets = materialize(shingle_sets(docs, wanted, k), "shingles")
-        found = materialize(links.union(_linked(left, hot, sets, percent)).distinct(), "links")
-        drop(pairs, hot, left, wanted, sets, links)
+        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+        sets = shingle_sets(docs, wanted, k).join(live.select("doc_id", "n", "lost", "marks").distinct(), "doc_id")
+        sets = materialize(sets.where("size(tokens) = n"), "shingles")
+        left, right = (sets.select(*[F.col(c).alias(f"{name}{i}") for c, name in (("n", "n"), ("lost", "c"), ("marks", "m"), ("tokens", "t"))], F.col("doc_id").alias(d)) for i, d in ((1, "a"), (2, "b")))
+        met = hot_join(pairs, left, "a", hot).join(right, "b").where(f"{sizes_allow} and {tokens_allow}")
+        similar = met.withColumn("i", F.size(F.array_intersect("t1", "t2"))).where(f"100 * i >= {percent} * (n1 + n2 - i)")
+        found = materialize(links.union(similar.select("a", "b")).distinct(), "links")
+        drop(pairs, hot, wanted, sets, links)
         return found
 
-    rows = live.select("doc_id", "n", "own", F.posexplode("keys").alias("i", "key")).select("doc_id", "n", (F.col("own") + F.col("i")).alias("i"), "key")
-    groups = rows.groupBy("key").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("q")).where("p < q").select("key")
-    token = materialize(rows.join(groups, "key").withColumn("part", F.col("doc_id")), "tokens")
-    links = token.select(F.col("doc_id").alias("a"), F.col("part").alias("b")).where("false")
-    for _ in range(HUB_ROUNDS):
-        parts = token.groupBy("key", "part").agg(F.count("*").alias("m"))
-        left = parts.groupBy("key").agg(F.sum("m").alias("size"), ((F.pow(F.sum("m"), 2) - F.sum(F.pow("m", 2))) / 2).alias("pairs")).where("pairs > 0")
-        left = materialize(left, "groups")
-        total, n = left.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("size"), F.lit(0))).first()
-        if total <= PAIRS_A_ROW * n:
-            drop(left)
-            break
-        hot = materialize(left.where(F.col("size") >= max(HOT_ROWS, n // HOT_KEYS)).select("key"), "hot")
-        hubs = token.join(left.select("key"), "key", "left_semi").groupBy("key").agg(F.min_by(F.struct("doc_id", "part", "n", "i"), F.struct(F.xxhash64("key", "part"), "doc_id")).alias("hub"))
-        hubs = materialize(hubs.select("key", F.col("hub.doc_id").alias("a"), F.col("hub.part").alias("pa"), F.col("hub.n").alias("n1"), F.col("hub.i").alias("i1")), "hubs")
-        met = materialize(hot_join(token, hubs, "key", hot), "met")
-        near = met.where("part <> pa").select("a", F.col("doc_id").alias("b"), "n1", "i1", F.col("n").alias("n2"), F.col("i").alias("i2")).where(places_allow)
-        links = judged(near.select("a", "b"), links)
-        # a hub has been compared with its whole group
-        component = connected_components(links)
-        over = met.where("doc_id <> a").select("doc_id", "n", "i", "key").join(component.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        over = materialize(over.select("doc_id", "n", "i", "key", F.coalesce("component", "doc_id").alias("part")), "tokens")
-        drop(left, hot, hubs, met, token)
-        token = over
-    x, y = (token.select("key", F.col("doc_id").alias(d), F.col("part").alias("p" + d), F.col("n").alias(f"n{j}"), F.col("i").alias(f"i{j}")) for j, d in ((1, "a"), (2, "b")))
-    rest = x.join(y, "key").where(f"a < b and pa <> pb and {places_allow}").select("a", "b")
-    links = judged(rest, links)
-    drop(token)
-    return links
+    # a key's row holds the keys before it, so that a pair is made at the first key that both have and nowhere else
+    before = F.slice("keys", F.lit(1), F.col("i")).alias("before")
+    rows = live.select("doc_id", "n", "own", "keys", F.posexplode("keys").alias("i", "key")).select("doc_id", "n", "own", (F.col("own") + F.col("i")).alias("i"), "key", before)
+    groups = rows.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "i"), F.struct(F.col("own") / F.col("n"), F.xxhash64("doc_id"), "doc_id")).alias("hub"), F.min("doc_id").alias("p"), F.max("doc_id").alias("q"), F.count("*").alias("size")).where("p < q")
+    groups = materialize(groups.select("key", "size", F.col("hub.doc_id").alias("a"), F.col("hub.n").alias("n1"), F.col("hub.i").alias("i1")), "groups")
+    n_rows = groups.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    hot = materialize(groups.where(F.col("size") >= max(HOT_ROWS, n_rows // HOT_KEYS)).select("key"), "hot")
+    token = materialize(hot_join(rows, groups.drop("size"), "key", hot), "tokens")
+    none = token.select("a", F.col("doc_id").alias("b")).where("false")
+    to_hub = token.where("doc_id <> a").select("a", F.col("doc_id").alias("b"), "n1", "i1", F.col("n").alias("n2"), F.col("i").alias("i2"))
+    near = to_hub.where(places_allow)
+    links = judged(near.select("a", "b"), none)
+    part = connected_components(links).withColumnRenamed("id", "doc_id")
+    parted = token.where("doc_id <> a").drop("a", "n1", "i1").join(part, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
+    x, y = (parted.select("key", F.col("doc_id").alias(d), F.col("part").alias("p" + d), F.col("n").alias(f"n{j}"), F.col("i").alias(f"i{j}"), F.col("before").alias(f"e{j}")) for j, d in ((1, "a"), (2, "b")))
+    rest = x.join(y, "key").where(f"a < b and pa <> pb and {places_allow} and not arrays_overlap(e1, e2)").select("a", "b")
+    found = judged(rest, links)
+    drop(groups, hot, token)
+    return found
 
 
 def brute_force(rows: list[tuple[int, str | None]], k: int, percent: int) -> list[tuple[int, int, int]]:
