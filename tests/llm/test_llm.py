@@ -78,14 +78,17 @@ def test_urls(spark):
 
 
 def test_token_counts(spark, rows):
-    pieces = token_counts.read_vocabulary(queries.tokenizer_path("word_bpe_49k.json"))
-    got = token_counts.token_counts(frame(spark, rows), queries.tokenizer_path("word_bpe_49k.json")).collect()
-    assert sorted(map(tuple, got)) == sorted((d, *token_counts.brute_force(t, pieces)) for d, t in rows)
-    some = {b"a", b"ab", b"bcd", b"d", b"cde"}
-    a = token_counts.Automaton(some, some)
-    for w in ("".join(random.Random(i).choices("abcde", k=i % 9 + 1)) for i in range(300)):
-        n = a.count(w.encode())
-        assert token_counts.brute_force(w, some)[1:] == (1 if n < 0 else n, int(n < 0))
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    inner, final = token_counts.read_vocabulary(path)
+    got = token_counts.token_counts(frame(spark, rows), path).collect()
+    assert sorted(map(tuple, got)) == sorted((d, *token_counts.brute_force(t, inner, final)) for d, t in rows)
+    rng = random.Random(1)
+    for _ in range(40):
+        inner, final = ({"".join(rng.choices("abcd", k=rng.randint(1, 4))).encode() for _ in range(rng.randint(0, 9))} for _ in range(2))
+        a = token_counts.Automaton(inner, final)
+        for w in ("".join(rng.choices("abcde", k=rng.randint(1, 12))) for _ in range(60)):
+            n = a.count(w.encode())
+            assert token_counts.brute_force(w, inner, final)[1:] == (1 if n < 0 else n, int(n < 0))
 
 
 def test_packing(spark, rows):
@@ -117,30 +120,76 @@ def test_bins_stay_bounded():
         assert bins.open <= 3
 
 
+def plain_base(text):
+    """The contract's spans by its own patterns."""
+    digits = lambda x: [c for c in x if "0" <= c <= "9"]
+    out = [(m.start(), 0, m.end()) for m in pii.EMAIL.finditer(text)]
+    out += [(m.start(), 1, m.end()) for m in pii.IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), 2, m.end()) for m in pii.CARD.finditer(text) if 14 <= len(d := digits(m[0])) <= 19 and pii.luhn("".join(d))]
+    return sorted(out + [(m.start(), 3, m.end()) for m in pii.PHONE.finditer(text) if 10 <= len(digits(m[0])) <= 15])
+
+
+CORPUS = ["a.b@c.de is from x@y.org", "call +1 (743) 555-3824 or +1 (743) 555-3824 now", "card 4111 1111 1111 1111 here", "no 4111111111111112 card", "at 1.2.3.4 host"] * 40
+
+
 def test_personal_data(spark):
     text = "a.b@c.de or A.B (at) c.de, 256.1.1.1 1.2.3.4.5, 4111 1111 1111 1111, 4111111111111112, +1 (743) 555-3824 and 743 555 3824"
-    rows = [(1, text), (2, None), (3, ""), (4, "clean 12345678901 text"), (1, text)]
-    got = personal = pii.personal_data(frame(spark, rows), pii.Field({}, 3.0), with_text=True).collect()
+    rows = [(1, text), (2, None), (3, ""), (4, "clean 12345678901 text"), (1, text), (5, "4111111111111112 4111111111111111")]
+    rows += [(100 + i, t) for i, t in enumerate(CORPUS)]
+    got = pii.personal_data(frame(spark, rows), with_text=True).collect()
     first = next(r for r in got if r.doc_id == 1)
-    assert (first.n_email, first.n_ip, first.n_card, first.n_phone) == (1, 1, 1, 1)
+    assert (first.n_email, first.n_ip, first.n_card, first.n_phone) == (1, 1, 1, 1) and all(r.settled for r in got)
     assert first.redacted == "<email> or <email>, 256.1.1.1 <ip>.5, <card>, 4111111111111112, <phone> and <phone>"
-    assert len(personal) == 5 and next(r for r in got if r.doc_id == 4).spans == ""
-    for _ in range(500):
-        s = "".join(random.choice("a.@-+b 1") for _ in range(25))
-        assert [(m.start(), m.end()) for m in pii.EMAIL.finditer(s)] == list(pii._emails(s))
+    assert len(got) == len(rows) and next(r for r in got if r.doc_id == 4).spans == ""
+    # two numbers in a row are one failing match of the pattern; the field finds the one that checks
+    assert next(r for r in got if r.doc_id == 5).spans == "card:17:33"
+    rng = random.Random(3)
+    for letters in ("a.@-+b 1", "12.3 ", "0145 -+()."):
+        for _ in range(700):
+            s = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40)))
+            assert plain_base(s) == pii.base_spans(s), s
     assert list(pii._emails("a" * 700 + "@b.c"))[0] == (0, 704)
 
 
+def test_long_runs_take_time_in_proportion():
+    import time
+
+    field = pii.Field.fit(CORPUS[:5])
+    n, start = 1 << 20, time.time()
+    for s in ("a" * n, "1" * n, "1." * (n // 2), "a (at) " * (n // 7), "a@" * (n // 2), "+1" + "-" * n, "1 " * (n // 2), "." * n + "@"):
+        pii.added_spans(s, field)
+        pii.base_spans(s)
+    assert time.time() - start < 60
+
+
 def test_field_is_fitted_on_whole_texts(spark):
-    one = "4111 1111 1111 1111, 12345678901 and +1 (743) 555-3824 or 743 555 3824"
-    rows = [(i, one if i % 2 else f"{one}; a.b@c.de, 12345678901") for i in range(4100)] + [(5000, None), (5001, "")]
+    rows = [(i, CORPUS[i % 5]) for i in range(300)] + [(5000, None), (5001, "")]
     got, want = pii.fit_field(frame(spark, rows)), pii.Field.fit([t for _, t in rows if t])
-    assert (got.shapes, got.agree) == (want.shapes, want.agree)
-    counts = pii.field_counts([one])
-    assert counts == {"digits 16 parted": (1, 1), "digits 11 whole": (1, 0), "digits 11 parted": (1, 1), "digits 10 parted": (1, 0), pii.PAIRS: (0, 0)}
-    assert pii.fit_field(frame(spark, rows[-2:])).shapes == {}
-    many = pii.fit_field(frame(spark, [(i, "4111 1111 1111 1111, 4111111111111112") for i in range(4100)]))
-    assert many.shapes["digits 16 parted"] == -0.5 and many.shapes["digits 16 whole"] == -2.0
+    assert set(got.shapes) == set(want.shapes) and all(np.allclose(got.shapes[s], want.shapes[s]) for s in got.shapes)
+    assert np.allclose(got.chain, want.chain) and np.isclose(got.agree, want.agree)
+    best = {s: int(w.argmax()) for s, w in got.shapes.items()}
+    assert (best["address"], best["four parts"], best["16 digits checked"], best["16 digits"], best["word"]) == (0, 1, 2, pii.NONE, pii.NONE)
+    assert pii.fit_field(frame(spark, rows[-2:])).agree == pii.AGREE
+
+
+def test_messages_against_enumeration():
+    """Exact on trees; the most likely labels on small graphs with loops."""
+    import itertools
+
+    rng = np.random.default_rng(4)
+    for trial in range(30):
+        n, labels = 5, 3
+        edges = [(int(rng.integers(i)), i) for i in range(1, n)] + ([(0, 4), (1, 3)] if trial % 2 else [])
+        edges = sorted(set(edges))
+        local, weights = rng.normal(size=(n, labels)), [rng.normal(size=(labels, labels)) * (0.4 if trial % 2 else 1) for _ in edges]
+        exact = np.zeros((n, labels))
+        for ys in itertools.product(range(labels), repeat=n):
+            p = np.exp(sum(local[i, y] for i, y in enumerate(ys)) + sum(w[ys[a], ys[b]] for (a, b), w in zip(edges, weights, strict=True)))
+            for i, y in enumerate(ys):
+                exact[i, y] += p
+        exact /= exact.sum(axis=1, keepdims=True)
+        got, settled = pii.beliefs(local, edges, weights)
+        assert settled and np.abs(np.exp(got) - exact).max() < (0.06 if trial % 2 else 1e-4)
 
 
 def test_neighbours(spark):
