@@ -71,9 +71,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     ranked = places.join(counts, "h", "left").groupBy("words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "offset")).alias("first"))
     probes = materialize(ranked.where("first.n > 0").select(F.col("first.h").alias("h"), F.col("first.offset").alias("offset"), "words"), "probes")
     found = hits.join(_small(probes, probes.count()), "h").where("pos >= offset").select("doc_id", F.struct((F.col("pos") - F.col("offset")).alias("start"), "words").alias("c"))
-    found = found.groupBy("doc_id").agg(F.collect_set("c").alias("cands"))
-
-    joined = docs.join(found, "doc_id", "left").select("doc_id", words(F.col("text")).alias("words"), "cands")
+    found = materialize(found.groupBy("doc_id").agg(F.collect_set("c").alias("cands")), "found")
+    ids = found.select("doc_id")
+
+    # only documents with a candidate are compared; the others' texts stay where they are read
+    if ids.count() <= BROADCAST_ROWS:
+        near, far = docs.join(F.broadcast(ids), "doc_id", "left_semi"), docs.join(F.broadcast(ids), "doc_id", "left_anti")
+    else:
+        near, far = docs, docs.where("false")
+    joined = near.join(found, "doc_id", "left").select("doc_id", words(F.col("text")).alias("words"), "cands")
     true = F.expr("filter(coalesce(cands, array()), c -> c.start + size(c.words) <= size(words) and slice(words, c.start + 1, size(c.words)) = c.words)")
     true = joined.select("doc_id", F.size("words").cast("long").alias("n_words"), F.when(F.col("cands").isNull(), None).otherwise(true).alias("hits"))
     covered = F.expr(
@@ -85,11 +91,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
 
     # the same windows give the same items, so each set of windows is looked up once
     sets = judged.where("found is not null").select("found", F.xxhash64("found").alias("key")).distinct()
-    named = sets.select("key", F.explode("found").alias("words")).join(windows, "words").select("key", "item").distinct()
-    named = named.groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    out = judged.withColumn("key", F.when(F.col("found").isNotNull(), F.xxhash64("found"))).join(named, "key", "left")
-    items_of = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", "n_hit", F.size(items_of).cast("long").alias("n_items"), F.sha2(F.array_join(items_of, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), items_of.alias("items"))
+    named = sets.select("key", "found", F.explode("found").alias("words")).join(_small(windows, windows.count()), "words").select("key", "found", "item").distinct()
+    named = materialize(named.groupBy("key", "found").agg(F.array_sort(F.collect_list("item")).alias("items")), "named")
+    out = judged.withColumn("key", F.when(F.col("found").isNotNull(), F.xxhash64("found"))).join(_small(named, named.count()), ["key", "found"], "left")
+    none = F.array().cast("array<string>")
+    rest = far.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), none.alias("items"))
+    out = out.select("doc_id", "n_words", "n_hit", F.coalesce("items", none).alias("items")).unionByName(rest)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items")
 
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], window: int = 10) -> list[tuple]:
