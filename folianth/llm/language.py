@@ -95,7 +95,9 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], least: float
     suffix enter by how often each is met with a language. Null or empty texts leave the other evidence and are not
     accepted; nulls in the other columns are no evidence. accepted: the best language's probability is at least `least`
     and the text isn't less likely under it than under equally likely trigrams. Repeated rows are judged each; without
-    any declared language in the model nothing is accepted.
+    any declared language in the model nothing is accepted. What a row's own text says isn't counted where the row is
+    judged. Of equally likely languages the one that more rows declare wins, then the first by name. An empty table
+    gives no rows.
     """
     languages, logs = model
     spark = rows.sparkSession
@@ -122,13 +124,11 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], least: float
     every = {r.guess: float(r["count"]) for r in known.groupBy("guess").count().collect()}  # a row for each language
     total = sum(every.values())
     prior = {x: (every.get(x, 0.0) + GLOBAL_WEIGHT) / (total + GLOBAL_WEIGHT * len(languages)) for x in languages}
-    all_of = spark.createDataFrame([(x, y) for x, y in every.items()], "guess string, of double") if every else spark.createDataFrame([], "guess string, of double")
 
     def given_language(column: str) -> DataFrame:
-        """How often the column's value is met with each language, as a map by language of smoothed shares."""
-        n = known.where(F.col(column).isNotNull()).groupBy(column, "guess").count()
-        n = n.join(F.broadcast(all_of), "guess").select(column, F.struct("guess", ((F.col("count") + 0.5) / (F.col("of") + 1)).alias("share")).alias("e"))
-        return n.groupBy(column).agg(F.map_from_entries(F.collect_list("e")).alias(f"{column}_given"))
+        """How often the column's value is met with each language, as a map by language."""
+        n = known.where(F.col(column).isNotNull()).groupBy(column, "guess").agg(F.count("*").cast("double").alias("n"))
+        return n.groupBy(column).agg(F.map_from_entries(F.collect_list(F.struct("guess", "n"))).alias(f"{column}_given"))
 
     out = _joined(seen, _shares(known.where("host is not null"), ["host"], "by_host"), ["host"])
     out = _joined(out, _shares(known.where("domain is not null"), ["domain"], "by_domain"), ["domain"])
@@ -137,14 +137,20 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], least: float
 
     # one expression over the array of languages, so that the plan doesn't grow with them
     named, of_all = F.lit(languages), F.lit([prior[x] for x in languages])
-    not_met = F.lit([0.5 / (every.get(x, 0.0) + 1) for x in languages])
+    met_in_all = F.lit([every.get(x, 0.0) for x in languages])
+
+    # a row's own guess is in all counts; it is taken off where the row itself is judged
+    def own(x: Column) -> Column:
+        return F.when(F.col("guess") == x, 1.0).otherwise(0.0)
 
     def level(name: str, x: Column, above: Column, weight: float) -> Column:
-        count = F.coalesce(F.element_at(F.col(name), x), F.lit(0.0))
-        return (count + weight * above) / (F.coalesce(F.col(f"{name}_n"), F.lit(0.0)) + weight)
+        count = F.greatest(F.coalesce(F.element_at(F.col(name), x), F.lit(0.0)) - own(x), F.lit(0.0))
+        rows = F.greatest(F.coalesce(F.col(f"{name}_n"), F.lit(0.0)) - F.when(F.col("guess").isNotNull(), 1.0).otherwise(0.0), F.lit(0.0))
+        return (count + weight * above) / (rows + weight)
 
     def met(column: str, x: Column, i: Column) -> Column:
-        return F.when(F.col(column).isNull(), F.lit(0.0)).otherwise(F.log(F.coalesce(F.element_at(F.col(f"{column}_given"), x), not_met[i])))
+        count = F.greatest(F.coalesce(F.element_at(F.col(f"{column}_given"), x), F.lit(0.0)) - own(x), F.lit(0.0))
+        return F.when(F.col(column).isNull(), F.lit(0.0)).otherwise(F.log((count + 0.5) / (met_in_all[i] - own(x) + 1)))
 
     weight = F.least(F.col("evidence").cast("double"), F.lit(TRIGRAMS))
 
