@@ -14,7 +14,8 @@ HOT_KEYS = 50_000
 #: A key of fewer rows isn't hot, and a hot key's rows are dealt over so many salts.
 HOT_ROWS, SALTS = 1024, 64
 
-_paths: dict[int, str] = {}
+#: Tables that materialize() wrote in this process and drop() hasn't deleted.
+_written: list[DataFrame] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -42,6 +43,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folianth_path = path
+    _written.append(out)
     return out
 
 
@@ -50,11 +52,17 @@ def drop(*tables: DataFrame) -> None:
     for t in tables:
         path = getattr(t, "_folianth_path", None)
         if path:
+            _written[:] = [w for w in _written if w is not t]
             jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)
 
 
+def written() -> list[DataFrame]:
+    """The tables that are there now; what a step leaves behind is what is written after it and not before."""
+    return list(_written)
+
+
 def hot_keys(rows: DataFrame, key: str, n_rows: int) -> DataFrame:
     """The keys of at least HOT_ROWS and n_rows / HOT_KEYS rows; there are at most HOT_KEYS of them."""
     return materialize(rows.groupBy(key).count().where(F.col("count") >= max(HOT_ROWS, n_rows // HOT_KEYS)).select(key), "hot")
