@@ -92,13 +92,15 @@ def edit_distance(a: Column, b: Column, limit: int) -> Column:
 
 
 def numbered_title(s: Column) -> Column:
-    """`N sep rest` as a short numbered title, else null."""
-    pattern = f"^\\s*([0-9۰-۹٠-٩]{{1,2}}|ا)\\s*[-–—ـ.)]\\s*(.+?)\\s*$"
-    number = F.translate(F.regexp_replace(F.regexp_extract(s, pattern, 1), "ا", "۱"), LATIN_DIGITS + ARABIC_DIGITS, PERSIAN_DIGITS * 2)
-    rest = F.regexp_extract(s, pattern, 2)
-    ok = s.rlike(pattern) & (F.regexp_count(persian_letters(rest), F.lit(".")) >= 3) & (F.size(F.split(rest, "\\s+")) <= 6)
-    ok = ok & ~rest.rlike("[0-9۰-۹٠-٩]") & ~rest.rlike("[.!?؟:…»\"']$") & ~number.rlike("^۰+$")
-    return F.when(ok, F.concat(number, F.lit("- "), rest))
+    """`N sep rest`, or `ا sep rest` for a misread one, as a short numbered title, else null."""
+    mark = "[-–—ـ:.)]"
+    pattern = f"^\\s*(?:([0-9۰-۹]{{1,2}})\\s*{mark}?|ا\\s*{mark})\\s*"
+    number = F.translate(F.regexp_extract(s, pattern, 1), LATIN_DIGITS, PERSIAN_DIGITS)
+    rest = F.trim(F.regexp_replace(s, pattern, ""))
+    letters = F.regexp_count(rest, F.lit("[\\x{0621}-\\x{064A}\\x{067E}-\\x{06D3}]"))
+    ok = s.rlike(pattern) & rest.rlike("^[\\x{0600}-\\x{06FF}]") & (letters >= 3) & (F.size(F.split(rest, "\\s+")) <= 6)
+    ok = ok & ~rest.rlike("[0-9۰-۹٠-٩]") & ~rest.rlike("[.!،,:؛]$") & ~number.rlike("^۰+$")
+    return F.when(ok, F.concat(F.when(number == "", "۱").otherwise(number), F.lit("- "), rest))
 
 
 def box_overlap(a: list[Column], b: list[Column]) -> Column:

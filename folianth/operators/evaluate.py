@@ -187,23 +187,56 @@ AFTER_SILENT_H = "ام ای اش ایم اید اند".split()
 PREFIXES = "می نمی بی".split()
 
 
+_BARE = str.maketrans({"ي": "ی", "ى": "ی", "ك": "ک"})
+_NO_LETTERS = re.compile("[^ء-غف-يپچژکگیۀ]")
+
+
+def bare(word: str) -> str:
+    """A word's comparison form: Persian letters only, without marks and half-spaces."""
+    return _NO_LETTERS.sub("", re.sub("[\u064b-\u065f\u0670\u0640\u200c\u200d]", "", word.translate(_BARE)))
+
+
+def half_spaced(s: str, seen: dict | None = None) -> tuple[str, int]:
+    """Spaces before an ending or after a prefix become half-spaces, and how many; one pass over the words.
+
+    A word is joined to what stands before it, already joined or not, where no punctuation is between them, both are
+    letters only and one belongs to the other. seen keeps what is known of words from one text to the next."""
+    zwnj, seen = "\u200c", {} if seen is None else seen
+    out: list[list[str]] = []
+    n, tail_free, whole, last = 0, False, "", ""
+    for word in s.split(" "):
+        known = seen.get(word)
+        if known is None:
+            core = re.sub(r"^\W+|\W+$", "", word)
+            parts = [bare(x) for x in core.split(zwnj)]
+            letters = core.replace(zwnj, "").isalpha()
+            known = seen[word] = (letters and word.startswith(core), letters and word.endswith(core), zwnj.join(parts), parts[0], parts[-1])
+        head_free, free, form, first, ending = known
+        belongs = first in PLURAL or first in COMPARATIVE or (first in AFTER_SILENT_H and last.endswith("ه")) or whole in PREFIXES
+        if out and tail_free and head_free and whole and first and belongs:
+            out[-1].append(word)
+            n, whole = n + 1, whole + zwnj + form
+        else:
+            out.append([word])
+            whole = form
+        tail_free, last = free, ending
+    return " ".join(zwnj.join(x) for x in out), n
+
+
 def half_spaces(s: Column) -> Column:
-    """struct<text, n>: spaces before an ending or after a prefix become half-spaces, in a fold over the words."""
-    zwnj = "‌"
-    bare = lambda c: T.comparison_form(c)
-    words = "^[\\p{L}\\x{200c}]+"
-
-    def step(a: Column, t: Column) -> Column:
-        last = F.try_element_at(a["out"], F.lit(-1))
-        tail = bare(F.try_element_at(F.split(last, zwnj), F.lit(-1)))
-        after = bare(F.split(F.regexp_extract(t, words, 0), zwnj)[0])
-        fits = after.isin(*PLURAL, *COMPARATIVE) | (after.isin(*AFTER_SILENT_H) & tail.endswith("ه")) | (bare(last).isin(*PREFIXES) & ~last.contains(zwnj))
-        join = last.isNotNull() & last.rlike("[\\p{L}]$") & last.rlike("^[^\\p{L}]*[\\p{L}\\x{200c}]+$") & t.rlike(words) & (after != "") & (tail != "") & t.rlike("^[\\p{L}\\x{200c}]+[^\\p{L}]*$") & fits
-        glued = F.concat(F.slice(a["out"], F.lit(1), F.size(a["out"]) - 1), F.array(F.concat(last, F.lit(zwnj), t)))
-        return F.struct(F.when(join, glued).otherwise(F.concat(a["out"], F.array(t))).alias("out"), (a["n"] + F.when(join, 1).otherwise(0)).cast("int").alias("n"))
-
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("n"))
-    return F.aggregate(F.split(s, " ", -1), start, step, lambda a: F.struct(F.array_join(a["out"], " ").alias("text"), a["n"].alias("n")))
+    """struct<text, n> of half_spaced."""
+
+    @F.pandas_udf("struct<text:string, n:int>")
+    def run(x: pd.Series) -> pd.DataFrame:
+        seen: dict = {}
+        rows = []
+        for t in x:
+            rows.append((None, None) if t is None else half_spaced(t, seen))
+            if len(seen) > 200_000:
+                seen.clear()
+        return pd.DataFrame(rows, columns=["text", "n"]).astype({"n": "Int32"})
+
+    return run(s)
 
 
 # Letters that don't join to the next one, short words, and endings that are no words of their own.

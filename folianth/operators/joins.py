@@ -25,9 +25,11 @@ def manifest_override(review: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def without_patterns(lines: DataFrame, patterns: DataFrame, column: str = "line_id") -> DataFrame:
-    """Lines whose id fits none of the glob patterns (*, ?, [..]); patterns are few."""
-    like = patterns.select(F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace("pattern", r"([.+^$(){}|\\])", r"\\$1"), r"\*", ".*"), r"\?", "."), F.lit("$")).alias("re"))
-    return lines.join(F.broadcast(like), F.expr(f"{column} rlike re"), "left_anti")
+    """Lines whose id fits none of the glob patterns (*, ?, [..]): all of them as one expression, which is one row."""
+    like = F.regexp_replace(F.regexp_replace(F.regexp_replace("pattern", r"([.+^$(){}|\\])", r"\\$1"), r"\*", ".*"), r"\?", ".")
+    one = patterns.select(like.alias("re")).agg(F.array_join(F.array_sort(F.collect_set("re")), "|").alias("re"))
+    one = one.select(F.when(F.col("re") != "", F.concat(F.lit("^(?:"), F.col("re"), F.lit(")$"))).alias("re"))
+    return lines.crossJoin(F.broadcast(one)).where(F.col("re").isNull() | ~F.expr(f"{column} rlike re")).drop("re")
 
 
 def chapter_starts(lines: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -38,29 +40,50 @@ def chapter_starts(lines: DataFrame, chapters: DataFrame) -> DataFrame:
     return marked.unionByName(titles)
 
 
+# One letter that may stand before a word without a space.
+ONE_LETTER_HEADS = ("و", "ب")
+
+
 def known_words(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(word, known): in the vocabulary, or two words of it in a row. words are distinct comparison forms."""
-    v = vocabulary.select("word").distinct()
-    cuts = words.where("length(word) >= 4").select("word", F.explode(F.sequence(F.lit(2), F.length("word") - 2)).alias("i"))
+    """(word, known): in the vocabulary, or two common words of it in a row, of which the first may be a single و or ب.
+
+    words are distinct comparison forms; vocabulary: word and, where some words are not common, common."""
+    every = vocabulary.select("word").distinct()
+    v = vocabulary.where("common").select("word").distinct() if "common" in vocabulary.columns else every
+    cuts = words.where("length(word) >= 3").select("word", F.explode(F.sequence(F.lit(1), F.length("word") - 2)).alias("i"))
     halves = cuts.select("word", F.expr("substring(word, 1, i)").alias("head"), F.expr("substring(word, i + 1)").alias("tail"))
-    split = halves.join(v.withColumnRenamed("word", "head"), "head", "left_semi").join(v.withColumnRenamed("word", "tail"), "tail", "left_semi").select("word")
-    found = words.join(v, "word", "left_semi").select("word").union(split).distinct().withColumn("known", F.lit(True))
+    halves = halves.where((F.length("head") > 1) | F.col("head").isin(*ONE_LETTER_HEADS))
+    halves = halves.join(v.withColumnRenamed("word", "tail"), "tail", "left_semi")
+    two = halves.where("length(head) > 1").join(v.withColumnRenamed("word", "head"), "head", "left_semi")
+    split = two.select("word").union(halves.where("length(head) = 1").select("word"))
+    found = words.join(every, "word", "left_semi").select("word").union(split).distinct().withColumn("known", F.lit(True))
     return words.join(found, "word", "left").select("word", F.coalesce("known", F.lit(False)).alias("known"))
 
 
-def suggestions(words: DataFrame, lexicon: DataFrame, limit: int = 5) -> DataFrame:
-    """(word, rank, suggestion, tier): words of the lexicon with the same skeleton (tier 0), or one shape away by the
-    deletions that both skeletons share (tier 1); more frequent first. lexicon: word, n."""
-    asked = words.select("word", T.skeleton(F.col("word")).alias("s"))
-    have = lexicon.select(F.col("word").alias("suggestion"), "n", T.skeleton(F.col("word")).alias("s"))
-    same = asked.join(have, "s").select("word", "suggestion", "n", F.lit(0).alias("tier"))
+def like_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(word, suggestion, tier, common, n): words of the lexicon with the same skeleton (tier 0), or one shape away by
+    the deletions that both skeletons share (tier 1). lexicon: word, n and, where some aren't, common."""
+    common = F.col("common") if "common" in lexicon.columns else F.lit(True)
+    asked = words.select("word", T.skeleton(F.col("word")).alias("s")).where("s <> ''")
+    have = lexicon.select(F.col("word").alias("suggestion"), "n", common.alias("common"), T.skeleton(F.col("word")).alias("s"))
+    same = asked.join(have, "s").select("word", "suggestion", "n", "common", F.lit(0).alias("tier"))
 
     def keys(df: DataFrame) -> DataFrame:
         return df.withColumn("key", F.explode(F.array_distinct(F.concat(F.array("s"), T.deletes(F.col("s")))))).drop("s")
 
-    near = keys(asked).join(keys(have), "key").select("word", "suggestion", "n", F.lit(1).alias("tier"))
-    best = same.union(near).where("word <> suggestion").groupBy("word", "suggestion").agg(F.min("tier").alias("tier"), F.max("n").alias("n"))
-    order = Window.partitionBy("word").orderBy("tier", F.desc("n"), "suggestion")
+    near = keys(asked).join(keys(have), "key").select("word", "suggestion", "n", "common", F.lit(1).alias("tier"))
+    return same.union(near).where("word <> suggestion").groupBy("word", "suggestion").agg(F.min("tier").alias("tier"), F.bool_or("common").alias("common"), F.max("n").alias("n"))
+
+
+def suggestions(words: DataFrame, lexicon: DataFrame, limit: int = 5) -> DataFrame:
+    """(word, rank, suggestion, tier): the best of like_words: the same skeleton before one shape away, common words,
+    more frequent ones, those with more letters alike, then by text. Letters are compared only where the rest is equal."""
+    from folianth.operators.evaluate import similarity
+
+    first = Window.partitionBy("word").orderBy("tier", F.desc("common"), F.desc("n"))
+    best = like_words(words, lexicon).withColumn("r", F.rank().over(first)).where(F.col("r") <= limit)
+    best = best.withColumn("ratio", similarity(F.col("word"), F.col("suggestion")))
+    order = Window.partitionBy("word").orderBy("r", F.desc("ratio"), "suggestion")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("word", "rank", "suggestion", "tier")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from folianth.functions import text as T
 from folianth.operators import book as B
 from folianth.operators import evaluate as E
+from folianth.operators import headings as H
 from folianth.operators import joins as J
 from folianth.operators import sequence as S
 from folianth.sources.bridge import LINES_SQL, document_lines, marked_pages, page_set
@@ -284,8 +285,8 @@ def asked_words(spark, d):
     return words.select(T.comparison_form(F.col("w")).alias("word")).where("word <> ''").distinct()
 
 
-@query(f"""{FA}, {_VOCAB}, {_ASKED}, c AS (SELECT word, unnest(range(2, length(word) - 1)) AS i FROM q WHERE length(word) >= 4),
-sp AS (SELECT DISTINCT word FROM c WHERE substr(word, 1, i) IN (SELECT word FROM v) AND substr(word, i + 1) IN (SELECT word FROM v))
+@query(f"""{FA}, {_VOCAB}, {_ASKED}, c AS (SELECT word, unnest(range(1, length(word) - 1)) AS i FROM q WHERE length(word) >= 3),
+sp AS (SELECT DISTINCT word FROM c WHERE (substr(word, 1, i) IN ('و', 'ب') OR (i > 1 AND substr(word, 1, i) IN (SELECT word FROM v))) AND substr(word, i + 1) IN (SELECT word FROM v))
 SELECT word, word IN (SELECT word FROM v) OR word IN (SELECT word FROM sp) AS known FROM q WHERE word <> ''""")
 def j11_known_words(spark, d):
     return J.known_words(asked_words(spark, d), a11_vocabulary(spark, d))
@@ -297,9 +298,13 @@ _CUTS = "list_distinct(list_concat([s], list_transform(range(1, length(s) + 1),
 @query(f"""{FA}, {_VOCAB}, {_ASKED}, qa AS (SELECT word, translate({_FORM.format('word')}, '{_SHAPES_FROM}', '{_SHAPES_TO}') AS s FROM q WHERE word <> ''),
 lx AS (SELECT word AS suggestion, n, translate({_FORM.format('word')}, '{_SHAPES_FROM}', '{_SHAPES_TO}') AS s FROM v),
 qk AS (SELECT word, unnest({_CUTS}) AS key FROM qa), lk AS (SELECT suggestion, n, unnest({_CUTS}) AS key FROM lx),
-al AS (SELECT word, suggestion, n, 0 AS tier FROM qa JOIN lx USING (s) UNION ALL SELECT word, suggestion, n, 1 FROM qk JOIN lk USING (key)),
-be AS (SELECT word, suggestion, min(tier) AS tier, max(n) AS n FROM al WHERE word <> suggestion GROUP BY ALL)
-SELECT word, CAST(row_number() OVER (PARTITION BY word ORDER BY tier, n DESC, suggestion) AS INTEGER) AS rank, suggestion, tier FROM be QUALIFY rank <= 5""")
+al AS (SELECT word, suggestion, n, 0 AS tier FROM qa JOIN lx USING (s) UNION ALL SELECT word, suggestion, n, 1 FROM qk JOIN lk USING (key))
+SELECT word, suggestion, min(tier) AS tier, true AS common, max(n) AS n FROM al WHERE word <> suggestion GROUP BY ALL""")
+def j12_like_words(spark, d):
+    return J.like_words(asked_words(spark, d), a11_vocabulary(spark, d))
+
+
+@query()
 def j12_suggestions(spark, d):
     return J.suggestions(asked_words(spark, d), a11_vocabulary(spark, d))
 
@@ -372,19 +377,37 @@ def j15_bag_recall(spark, d):
     return J.bag_recall(split(F.col("text")), split(F.replace("text", F.lit("the"), F.lit("teh"))), "item_id")
 
 
+_ORDINALS = H.ordinals()
+_ORDINALS_SQL = "[" + ", ".join(f"'{o}'" for o in _ORDINALS) + "]"
+
+
+def planted_lines(spark, d):
+    """Lines in stand-in letters, of which every seventeenth is a chapter's heading with its keyword misread."""
+    rows = lines_fa(spark, d)
+    name = F.array(*[F.lit(o) for o in _ORDINALS])[F.col("line_no") % len(_ORDINALS)]
+    return rows.withColumn("text", F.when(F.col("line_no") % 17 == 3, F.concat(F.lit("نصل "), name)).otherwise(F.col("text")))
+
+
 def paragraph_lines(spark, d):
-    rows = lines(spark, d).withColumn("text", T.stand_in(F.col("text")))
-    rows = S.kept_lines(rows, 0.02).join(B.sparse_pages(rows).select("book", "page", "sparse"), ["book", "page"])
-    marked = F.col("line_no") % 17 == 3
-    return rows.withColumn("marked", marked).withColumn("short_title", ~marked & (F.length("clean") % 5 == 0))
+    rows = planted_lines(spark, d)
+    kept = S.kept_lines(rows, 0.02).join(B.sparse_pages(rows).select("book", "page", "sparse"), ["book", "page"])
+    statistics = S.book_statistics(rows)
+    return H.detect_headings(kept, statistics), statistics, rows
 
 
 _TERMINAL = "right(prev_text, 1) IN ('.', '!', '?', '؟', ':', '…', '»', '\"', '''')"
-_PARAGRAPHS = f"""{LINES_SQL.replace('parts[i + 1] AS text', f"translate(lower(parts[i + 1]), '{T.LATIN}', '{T.STAND_IN}') AS text")}, {_HEADERS}, {_SPARSE}, {_MARGINS}, {_PITCH},
+_NUMBER = "^\\s*(?:([0-9۰-۹]{1,2})\\s*[-–—ـ:.)]?|ا\\s*[-–—ـ:.)])\\s*"
+_PLANTED = f"CASE WHEN i % 17 = 3 THEN 'نصل ' || {_ORDINALS_SQL}[i % {len(_ORDINALS)} + 1] ELSE translate(lower(parts[i + 1]), '{T.LATIN}', '{T.STAND_IN}') END AS text"
+_PARAGRAPHS = f"""{LINES_SQL.replace('parts[i + 1] AS text', _PLANTED)}, {_HEADERS}, {_SPARSE}, {_MARGINS}, {_PITCH},
 cl AS (SELECT *, {_CLOSE.format(_COMMAS.format(_NORMAL.format('text')))} AS clean FROM lines),
-kl AS (SELECT c.*, sp.sparse, c.line_no % 17 = 3 AS marked, c.line_no % 17 <> 3 AND length(clean) % 5 = 0 AS short_title FROM cl c JOIN sp USING (book, page)
+kk AS (SELECT c.*, sp.sparse FROM cl c JOIN sp USING (book, page)
   WHERE (len(regexp_extract_all(clean, '\\p{{L}}')) > 1 OR (len(regexp_extract_all(clean, '\\p{{L}}')) = 1 AND coalesce(nullif(conf, 0), 100) >= 50))
   AND NOT ({_MARGIN} AND EXISTS (FROM h WHERE h.book = c.book AND h.key = {_KEY.format('c.text')}))),
+kn AS (SELECT kk.*, mg."right" - mg."left" AS tw, y0 - lag(y1) OVER (PARTITION BY kk.book, page ORDER BY line_no) AS above, regexp_replace(clean, '{_NUMBER}', '') AS rest, regexp_matches(clean, '{_NUMBER}') AS numbered FROM kk LEFT JOIN mg USING (book)),
+kl AS (SELECT kn.* EXCLUDE (tw), regexp_matches(clean, '^نصل ({'|'.join(_ORDINALS)})$') AS marked, NOT marked AND NOT sparse AND numbered AND conf >= 40 AND coalesce(above >= 80, true)
+  AND coalesce(greatest(1, x1 - x0) / width < 0.6 * tw, true) AND regexp_matches(rest, '^[\\x{{0600}}-\\x{{06FF}}]') AND len(regexp_extract_all(rest, '[\\x{{0621}}-\\x{{064A}}\\x{{067E}}-\\x{{06D3}}]')) >= 3 AND len(string_split_regex(rest, '\\s+')) <= 6
+  AND NOT regexp_matches(rest, '[0-9۰-۹٠-٩]') AND NOT regexp_matches(rest, '[.!،,:؛]$') AND NOT regexp_matches(regexp_extract(clean, '{_NUMBER}', 1), '^[0۰]+$') AS short_title,
+  CASE WHEN marked THEN 'فصل ' || substr(clean, 5) WHEN short_title THEN translate(CASE WHEN regexp_extract(clean, '{_NUMBER}', 1) = '' THEN '۱' ELSE regexp_extract(clean, '{_NUMBER}', 1) END, '{T.LATIN_DIGITS}', '{T.PERSIAN_DIGITS}') || '- ' || rest END AS title FROM kn),
 p1 AS (SELECT kl.*, mg."left" AS lft, mg."right" - mg."left" AS tw, pitch, 40 AS line_h, row_number() OVER bk AS ord, row_number() OVER pg = 1 AS first_on_page, lag(clean) OVER bk AS prev_text,
   coalesce(lag(kl.sparse) OVER bk, false) AS prev_sparse, coalesce(lag(coalesce((x0 / width - mg."left") < 0.06 * (mg."right" - mg."left"), false)) OVER bk, false) AS prev_full,
   y0 - lag(y1) OVER pg AS gap, y0 - lag(y0) OVER pg AS leap
@@ -396,12 +419,27 @@ p5 AS (SELECT *, coalesce(lag(h) OVER (PARTITION BY book ORDER BY page, line_no)
 p6 AS (SELECT *, NOT (h AND prev_h AND coalesce(gap < 1.5 * line_h, false)) AND (ord = 1 OR sparse OR (first_on_page AND prev_sparse) OR prev_h OR h
   OR (regexp_matches(clean, '{T.DIALOGUE}') AND ended) OR (NOT prev_full AND ended) OR coalesce(leap > 2.2 * pitch, false)) AS starts FROM p5),
 p7 AS (SELECT *, CAST(sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY book ORDER BY page, line_no) AS BIGINT) AS para_no FROM p6),
-pa AS (SELECT book, para_no, bool_or(h) AS heading, min(page) AS first_page, max(page) AS last_page, count(*) AS n_lines, string_agg(clean, ' ' ORDER BY ord) AS joined FROM p7 GROUP BY ALL)"""
+p8 AS (SELECT *, CASE WHEN h AND title IS NOT NULL THEN title ELSE clean END AS t, lead(starts) OVER (PARTITION BY book ORDER BY page, line_no) AS next_starts FROM p7),
+p9 AS (SELECT *, NOT coalesce(next_starts, true) AND regexp_matches(t, '(^|[^\\x{{0600}}-\\x{{06FF}}\\x{{200c}}])(ن?می)\\s*[-–—ـ]$') AS broken FROM p8),
+p10 AS (SELECT *, CASE WHEN starts OR coalesce(lag(broken) OVER bk, false) OR left(t, 1) IN ('.', '؛', ':', '؟', '!', '»', '?', ';', '،') OR coalesce(right(lag(t) OVER bk, 1) = '«', false) THEN '' ELSE ' ' END AS sep,
+  CASE WHEN broken THEN regexp_replace(t, '(^|[^\\x{{0600}}-\\x{{06FF}}\\x{{200c}}])(ن?می)\\s*[-–—ـ]$', '\\1\\2' || chr(8204)) ELSE t END AS own FROM p9 WINDOW bk AS (PARTITION BY book ORDER BY page, line_no)),
+ap AS (SELECT DISTINCT book, page FROM lines), kp AS (SELECT DISTINCT book, page FROM p10),
+tg AS (SELECT a.book, a.page, (SELECT min(k.page) FROM kp k WHERE k.book = a.book AND k.page >= a.page) AS target FROM ap a),
+mk AS (SELECT book, target, string_agg('[' || page || ']', '' ORDER BY page) AS markers FROM tg GROUP BY ALL),
+pm AS (SELECT p10.*, sep || CASE WHEN first_on_page THEN coalesce(markers, '') ELSE '' END || own AS piece FROM p10 LEFT JOIN mk ON mk.book = p10.book AND mk.target = p10.page),
+pb AS (SELECT book, para_no, min_by(printf('p%03d-%02d', page, line_no + 1), ord) AS para_id, bool_or(h) AS heading, min(page) AS first_page, max(page) AS last_page, count(*) AS n_lines, string_agg(sep || own, '' ORDER BY ord) AS text, string_agg(piece, '' ORDER BY ord) AS piece FROM pm GROUP BY ALL),
+pa AS (SELECT pb.* EXCLUDE (piece), piece || CASE WHEN para_no = max(para_no) OVER (PARTITION BY pb.book) THEN coalesce(markers, '') ELSE '' END AS marked FROM pb LEFT JOIN mk ON mk.book = pb.book AND mk.target IS NULL)"""
+
+
+@query(f"{_PARAGRAPHS} SELECT book, para_no, para_id, heading, first_page, last_page, n_lines, md5(text) AS text, md5(marked) AS marked FROM pa")
+def w01_paragraphs(spark, d):
+    found = book_paragraphs(spark, d).drop("sparse", "conf")
+    return found.withColumn("text", F.md5("text")).withColumn("marked", F.md5(F.translate("marked", S.PAGE_OPEN + S.PAGE_CLOSE, "[]")))
 
 
-@query(f"{_PARAGRAPHS} SELECT book, para_no, heading, first_page, last_page, n_lines FROM pa")
-def w01_paragraphs(spark, d):
-    return S.paragraphs(paragraph_lines(spark, d), S.book_statistics(lines_fa(spark, d))).drop("text")
+def book_paragraphs(spark, d):
+    kept, statistics, rows = paragraph_lines(spark, d)
+    return S.paragraphs(kept, statistics, rows)
 
 
 def lines_fa(spark, d):
@@ -409,9 +447,9 @@ def lines_fa(spark, d):
 
 
 @query(f"""{_PARAGRAPHS}, se AS (SELECT *, CAST(sum(CASE WHEN heading THEN 1 ELSE 0 END) OVER (PARTITION BY book ORDER BY para_no) AS BIGINT) AS section_no FROM pa)
-SELECT book, section_no, count(*) AS n_paragraphs, min(para_no) AS first_para FROM se GROUP BY ALL""")
+SELECT book, section_no, coalesce(max(text) FILTER (heading), 'آغاز') AS title, count(*) AS n_paragraphs, min(para_no) AS first_para FROM se WHERE book IN (SELECT book FROM pa WHERE heading GROUP BY book HAVING count(*) >= 2) GROUP BY ALL""")
 def w09_sections(spark, d):
-    return S.sections_by_heading(S.paragraphs(paragraph_lines(spark, d), S.book_statistics(lines_fa(spark, d)))).drop("title")
+    return S.sections_by_heading(book_paragraphs(spark, d))
 
 
 @query("""WITH RECURSIVE p AS (SELECT DISTINCT source AS book, doc_id AS page FROM documents), o AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY page) AS i FROM p),
@@ -442,7 +480,7 @@ def k02_page_texts(spark, d):
 def k04_book_members(spark, d):
     from folianth.sources.sinks import book_members
 
-    return book_members(S.paragraphs(paragraph_lines(spark, d), S.book_statistics(lines_fa(spark, d))))
+    return book_members(book_paragraphs(spark, d)).withColumn("content", F.md5("content"))
 
 
 def pairs(spark, d):
