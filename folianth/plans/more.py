@@ -9,7 +9,7 @@ from folianth.functions import text as T
 from folianth.operators import headings as H
 from folianth.operators import lineset as L
 from folianth.operators import scorecard as R
-from folianth.plans.queries import _FORM, _NUMBER, _ORDINALS, _ORDINALS_SQL, _WHOLE_BOXES, FA, a11_vocabulary, asked_words, book_paragraphs, fa, lines, lines_fa, pairs, query, table, whole_word_boxes
+from folianth.plans.queries import _BOXES, _FORM, _NUMBER, _ORDINALS, _ORDINALS_SQL, FA, a11_vocabulary, asked_words, book_paragraphs, fa, lines, lines_fa, pairs, query, table, word_boxes
 from folianth.sources import files as S
 from folianth.sources import sinks as K
 from folianth.sources.bridge import LINES_SQL
@@ -74,10 +74,10 @@ def p26_display(spark, d):
     return lines(spark, d).select("page", "line_no", D.display(mixed, "R").alias("shown"))
 
 
-@query(f"""{LINES_SQL}, {_WHOLE_BOXES}, c AS (SELECT page, line_no, min(x0) AS a, min(y0) AS b, max(x1) AS c, max(y1) AS e, CAST(2000 AS INTEGER) AS w, CAST(9000 AS INTEGER) AS h FROM wb GROUP BY ALL)
+@query(f"""{LINES_SQL}, {_BOXES}, c AS (SELECT page, line_no, min(x0) AS a, min(y0) AS b, max(x1) AS c, max(y1) AS e, CAST(2000 AS INTEGER) AS w, CAST(9000 AS INTEGER) AS h FROM wb GROUP BY ALL)
 SELECT page, line_no, greatest(0, a - 16) AS x0, greatest(0, b - greatest(8, (e - b) // 6)) AS y0, least(w, c + 16) AS x1, least(h, e + greatest(8, (e - b) // 6)) AS y1 FROM c""")
 def p27_crop_boxes(spark, d):
-    return L.crop_boxes(whole_word_boxes(spark, d).withColumns({"width": F.lit(2000), "height": F.lit(9000)}))
+    return L.crop_boxes(word_boxes(spark, d).withColumns({"width": F.lit(2000), "height": F.lit(9000)}))
 
 
 @query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN CASE WHEN n_chars > 500 THEN 'line' ELSE 'page' END WHEN 1 THEN 'page' ELSE 'engine' END AS reader,
@@ -102,11 +102,11 @@ def f06_line_heights(spark, d):
     return rows.where(L.line_height_fits(F.col("y0"), F.col("y1")) & L.has_letters(F.col("text"))).select("page", "line_no")
 
 
-@query(f"""{LINES_SQL}, {_WHOLE_BOXES}, w AS (SELECT page, line_no, x0, y0, x1, y1, 1200 AS lx0, y0 - page % 2 AS ly0, 2000 AS lx1, y1 - page % 3 AS ly1 FROM wb),
+@query(f"""{LINES_SQL}, {_BOXES}, w AS (SELECT page, line_no, x0, y0, x1, y1, 1200 AS lx0, y0 - page % 2 AS ly0, 2000 AS lx1, y1 - page % 3 AS ly1 FROM wb),
 g AS (SELECT page, line_no, x0, y0, x1, y1 FROM w WHERE lx0 <= x0 AND ly0 <= y0 AND x1 <= lx1 AND y1 <= ly1)
 SELECT * FROM g UNION ALL SELECT DISTINCT page, line_no, lx0, ly0, lx1, ly1 FROM w WHERE NOT EXISTS (FROM g WHERE g.page = w.page AND g.line_no = w.line_no)""")
 def f13_words_inside(spark, d):
-    rows = whole_word_boxes(spark, d)
+    rows = word_boxes(spark, d)
     return L.words_inside(rows.withColumns({"lx0": F.lit(1200), "ly0": (F.col("y0") - F.col("page") % 2).cast("int"), "lx1": F.lit(2000), "ly1": (F.col("y1") - F.col("page") % 3).cast("int")})).select("page", "line_no", *[F.col(c).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
@@ -200,9 +200,9 @@ def k07_set_index(spark, d):
     return L.set_index(rows.where("new = 0").drop("new"), rows.where("new = 1 and page % 3 = 0").drop("new"))
 
 
-@query(f"{LINES_SQL}, {_WHOLE_BOXES}, t AS (SELECT page, line_no, string_split(text, ' ') AS w, conf FROM lines) SELECT t.page, t.line_no, array_to_string(w, ' ') AS text, CAST(any_value(conf) AS DOUBLE) AS conf, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM t JOIN wb USING (page, line_no) GROUP BY ALL")
+@query(f"{LINES_SQL}, {_BOXES}, t AS (SELECT page, line_no, string_split(text, ' ') AS w, conf FROM lines) SELECT t.page, t.line_no, array_to_string(w, ' ') AS text, CAST(any_value(conf) AS DOUBLE) AS conf, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM t JOIN wb USING (page, line_no) GROUP BY ALL")
 def i02_lines_of_words(spark, d):
-    boxes = whole_word_boxes(spark, d)
+    boxes = word_boxes(spark, d)
     from pyspark.sql.window import Window
 
     boxes = boxes.withColumn("word_no", F.row_number().over(Window.partitionBy("page", "line_no").orderBy(F.desc("x1"))) - 1)

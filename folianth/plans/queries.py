@@ -246,12 +246,11 @@ def a18_line_sources(spark, d):
     return J.line_decisions(lines(spark, d), decisions(spark, d)).groupBy("line_source").agg(F.count("*").alias("n"))
 
 
-@query("""WITH r AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'done' ELSE 'unsure' END AS status, 'text ' || doc_id AS text FROM labels WHERE doc_id % 4 < 3),
-m AS (SELECT doc_id AS id, 'skip' AS status FROM labels WHERE toxic = 1) SELECT id, coalesce(m.status, r.status) AS status, r.text FROM r FULL JOIN m USING (id)""")
+@query("""WITH r AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'done' ELSE 'unsure' END AS status, 'text ' || doc_id AS text FROM labels),
+m AS (SELECT doc_id AS id, 'skip' AS status FROM documents WHERE n_chars < 200) SELECT id, coalesce(m.status, r.status) AS status, r.text FROM r FULL JOIN m USING (id)""")
 def j02_manifest_override(spark, d):
-    labels = table(spark, d, "labels")
-    review = labels.where("doc_id % 4 < 3").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "done").otherwise("unsure").alias("status"), F.concat(F.lit("text "), F.col("doc_id")).alias("text"))
-    return J.manifest_override(review, labels.where("toxic = 1").select(F.col("doc_id").alias("id"), F.lit("skip").alias("status")))
+    review = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "done").otherwise("unsure").alias("status"), F.concat(F.lit("text "), F.col("doc_id")).alias("text"))
+    return J.manifest_override(review, table(spark, d, "documents").where("n_chars < 200").select(F.col("doc_id").alias("id"), F.lit("skip").alias("status")))
 
 
 def named_lines(spark, d):
@@ -310,34 +309,7 @@ def j12_suggestions(spark, d):
 
 
 def word_boxes(spark, d):
-    """Words of the first twelve tokens of each line, right to left, with wider gaps after every fourth."""
-    rows = lines(spark, d).select("page", "line_no", "y0", "y1", F.posexplode(F.slice(F.split("text", " "), 1, 12)).alias("k", "w"))
-    shift = F.col("k") * 70 + F.floor(F.col("k") / 4) * 130
-    return rows.select("page", "line_no", (F.lit(2000) - shift - 50).cast("int").alias("x0"), (F.lit(2000) - shift).cast("int").alias("x1"), "y0", "y1")
-
-
-_BOXES = """wt AS (SELECT page, line_no, y0, y1, string_split(text, ' ')[1:12] AS w FROM lines), wk AS (SELECT page, line_no, y0, y1, unnest(range(0, len(w))) AS k FROM wt),
-wb AS (SELECT page, line_no, CAST(2000 - k * 70 - (k // 4) * 130 - 50 AS INTEGER) AS x0, CAST(2000 - k * 70 - (k // 4) * 130 AS INTEGER) AS x1, y0, y1 FROM wk)"""
-
-
-@query(f"""{LINES_SQL}, {_BOXES}, g AS (SELECT page, line_no, lead(x1) OVER o AS gap_start, x0 AS gap_end, y1 - y0 AS h FROM wb WINDOW o AS (PARTITION BY page, line_no ORDER BY x1 DESC)),
-z AS (SELECT *, gap_end - gap_start AS size, list_sort(list(gap_end - gap_start) OVER (PARTITION BY page, line_no)) AS sizes FROM g WHERE gap_start IS NOT NULL),
-wd AS (SELECT page, line_no, gap_start, gap_end FROM z WHERE CASE WHEN len(sizes) = 1 THEN size > 2 * h ELSE size > greatest(20, 2.5 * sizes[len(sizes) // 2 + 1]) END),
-nl AS (SELECT page, count(DISTINCT line_no) AS n FROM wb GROUP BY page),
-s AS (SELECT a.page, a.line_no, a.gap_start, a.gap_end, count(DISTINCT b.line_no) AS shared FROM wd a JOIN wd b ON a.page = b.page AND b.gap_start < a.gap_end AND a.gap_start < b.gap_end GROUP BY ALL)
-SELECT s.* FROM s JOIN nl USING (page) WHERE shared >= greatest(3, 0.2 * n)""")
-def j14_column_gaps(spark, d):
-    return J.column_gaps(word_boxes(spark, d))
-
-
-@query(f"""{LINES_SQL}, {_BOXES}, t AS (SELECT *, list_sort(list(y1 - y0) OVER (PARTITION BY page, line_no)) AS hs, lag(x0) OVER o - x1 AS gap FROM wb WINDOW o AS (PARTITION BY page, line_no ORDER BY x1 DESC))
-SELECT page, line_no, x0, x1, CAST(sum(CASE WHEN gap > 2.5 * hs[len(hs) // 2 + 1] THEN 1 ELSE 0 END) OVER (PARTITION BY page, line_no ORDER BY x1 DESC) AS INTEGER) AS part FROM t""")
-def w12_gap_split(spark, d):
-    return S.split_at_gaps(word_boxes(spark, d))
-
-
-def whole_word_boxes(spark, d):
-    """Boxes as word_boxes makes them, of all words of each line; a page is as wide as its longest line needs."""
+    """Words of each line, right to left, with wider gaps after every fourth; a page is as wide as its longest line needs."""
     rows = lines(spark, d).select("page", "line_no", "y0", "y1", F.split("text", " ").alias("w"))
     most = F.max(F.size("w")).over(Window.partitionBy("page"))
     rows = rows.withColumn("width", F.greatest(F.lit(2000), most * 70 + F.floor(most / 4) * 130 + 100))
@@ -346,26 +318,26 @@ def whole_word_boxes(spark, d):
     return rows.select("page", "line_no", (right - 50).cast("int").alias("x0"), right.cast("int").alias("x1"), "y0", "y1")
 
 
-_WHOLE_BOXES = """wt AS (SELECT page, line_no, y0, y1, string_split(text, ' ') AS w FROM lines),
+_BOXES = """wt AS (SELECT page, line_no, y0, y1, string_split(text, ' ') AS w FROM lines),
 ww AS (SELECT *, greatest(2000, max(len(w)) OVER (PARTITION BY page) * 70 + max(len(w)) OVER (PARTITION BY page) // 4 * 130 + 100) AS wide FROM wt),
 wk AS (SELECT page, line_no, y0, y1, wide, unnest(range(0, len(w))) AS k FROM ww),
 wb AS (SELECT page, line_no, CAST(wide - k * 70 - (k // 4) * 130 - 50 AS INTEGER) AS x0, CAST(wide - k * 70 - (k // 4) * 130 AS INTEGER) AS x1, y0, y1 FROM wk)"""
 
 
-@query(f"""{LINES_SQL}, {_WHOLE_BOXES}, g AS (SELECT page, line_no, lead(x1) OVER o AS gap_start, x0 AS gap_end, y1 - y0 AS h FROM wb WINDOW o AS (PARTITION BY page, line_no ORDER BY x1 DESC)),
+@query(f"""{LINES_SQL}, {_BOXES}, g AS (SELECT page, line_no, lead(x1) OVER o AS gap_start, x0 AS gap_end, y1 - y0 AS h FROM wb WINDOW o AS (PARTITION BY page, line_no ORDER BY x1 DESC)),
 z AS (SELECT *, gap_end - gap_start AS size, list_sort(list(gap_end - gap_start) OVER (PARTITION BY page, line_no)) AS sizes FROM g WHERE gap_start IS NOT NULL),
 wd AS (SELECT page, line_no, gap_start, gap_end FROM z WHERE CASE WHEN len(sizes) = 1 THEN size > 2 * h ELSE size > greatest(20, 2.5 * sizes[len(sizes) // 2 + 1]) END),
 nl AS (SELECT page, count(DISTINCT line_no) AS n FROM wb GROUP BY page),
 s AS (SELECT a.page, a.line_no, a.gap_start, a.gap_end, count(DISTINCT b.line_no) AS shared FROM wd a JOIN wd b ON a.page = b.page AND b.gap_start < a.gap_end AND a.gap_start < b.gap_end GROUP BY ALL)
 SELECT s.* FROM s JOIN nl USING (page) WHERE shared >= greatest(3, 0.2 * n)""")
-def j14_column_gaps_whole(spark, d):
-    return J.column_gaps(whole_word_boxes(spark, d))
+def j14_column_gaps(spark, d):
+    return J.column_gaps(word_boxes(spark, d))
 
 
-@query(f"""{LINES_SQL}, {_WHOLE_BOXES}, t AS (SELECT *, list_sort(list(y1 - y0) OVER (PARTITION BY page, line_no)) AS hs, lag(x0) OVER o - x1 AS gap FROM wb WINDOW o AS (PARTITION BY page, line_no ORDER BY x1 DESC))
+@query(f"""{LINES_SQL}, {_BOXES}, t AS (SELECT *, list_sort(list(y1 - y0) OVER (PARTITION BY page, line_no)) AS hs, lag(x0) OVER o - x1 AS gap FROM wb WINDOW o AS (PARTITION BY page, line_no ORDER BY x1 DESC))
 SELECT page, line_no, x0, x1, CAST(sum(CASE WHEN gap > 2.5 * hs[len(hs) // 2 + 1] THEN 1 ELSE 0 END) OVER (PARTITION BY page, line_no ORDER BY x1 DESC) AS INTEGER) AS part FROM t""")
-def w12_gap_split_whole(spark, d):
-    return S.split_at_gaps(whole_word_boxes(spark, d))
+def w12_gap_split(spark, d):
+    return S.split_at_gaps(word_boxes(spark, d))
 
 
 @query("""WITH a AS (SELECT item_id, unnest(string_split_regex(text, '\\s+')) AS word FROM benchmark), b AS (SELECT item_id, unnest(string_split_regex(replace(text, 'the', 'teh'), '\\s+')) AS word FROM benchmark),

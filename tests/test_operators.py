@@ -143,9 +143,9 @@ def test_header_keys(spark):
 def test_words_behind_the_twelfth(spark, tmp_path):
     text = "\n".join(" ".join(f"w{i}" for i in range(n)) for n in (40, 30, 30, 5))
     spark.createDataFrame([(1, text, "b")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    parts = Q.QUERIES["w12_gap_split_whole"](spark, str(tmp_path)).collect()
+    parts = Q.QUERIES["w12_gap_split"](spark, str(tmp_path)).collect()
     assert len(parts) == 105 and min(r.x0 for r in parts) >= 0 and max(r.part for r in parts) == 9
-    gaps = Q.QUERIES["j14_column_gaps_whole"](spark, str(tmp_path)).collect()
+    gaps = Q.QUERIES["j14_column_gaps"](spark, str(tmp_path)).collect()
     assert {line: sum(r.line_no == line for r in gaps) for line in range(4)} == {0: 7, 1: 7, 2: 7, 3: 1}
 
 
