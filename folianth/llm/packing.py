@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import unicodedata
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +23,30 @@ from folianth.llm.store import materialize
 CACHE_WORDS = 1 << 20
 #: Marks that are cut off a word's end. Between a letter and one of these the tokenizer always cuts.
 MARKS = b".,;:!?*#%$&)]}\""
+#: What the way by words rests on: white space parts units, a run of letters is one unit, and so is a run of marks.
+UNITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 #: A packer gets about so many pieces. Each packer leaves some bins unfilled at its end.
 PIECES_PER_PACKER = 1 << 17
 
 
-class WordIds:
-    """Token ids of texts as little-endian bytes, by way of the words between ASCII white space.
+def word_wise(settings: dict) -> bool:
+    """Whether a tokenizer's settings say that the ids of a text are those of its words in a row, and that WordIds' cuts
+    between letters and marks are the tokenizer's own."""
+    model, steps = settings["model"], (settings.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    return (
+        (settings.get("normalizer") or {}).get("normalizers") == NORMALIZERS
+        and len(steps) == 2
+        and steps[0] == {"type": "Split", "pattern": {"Regex": UNITS}, "behavior": "Removed", "invert": True}
+        and (steps[1].get("type"), steps[1].get("add_prefix_space"), steps[1].get("use_regex")) == ("ByteLevel", False, False)
+        and (model.get("type"), model.get("end_of_word_suffix"), model.get("dropout")) == ("BPE", "</w>", None)
+        and not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or t["content"].isalpha() or t["content"].split() != [t["content"]] or t["content"][-1].encode() in MARKS for t in settings.get("added_tokens") or [])
+    )
+
 
-    The tokenizer drops white space and never joins across it, so the ids of a text are those of its words in a row.
+class WordIds:
+    """Token ids of texts as little-endian bytes: by way of the words between ASCII white space where word_wise tells that
+    the tokenizer allows it, and of the texts as they are otherwise.
     """
 
     _open: dict[tuple[str, int], WordIds] = {}
@@ -38,6 +56,10 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            self.word_wise = word_wise(json.load(f))
         self.cache_words = cache_words
         self.known: dict[bytes, bytes] = {}
         self.bare: dict[bytes, bytes] = {b"": b""}
@@ -98,8 +120,16 @@ class WordIds:
             self.ends = marks
         return self.ends
 
-    def encode(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self.known.__getitem__, words))
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text in turn."""
+        if self.word_wise:
+            split = [t.split() for t in texts]
+            self.learn(set().union(*split))
+            for words in split:
+                yield b"".join(map(self.known.__getitem__, words))
+        else:
+            for t in texts:
+                yield np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id: int = 1, with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
@@ -116,11 +146,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id
             data, offsets = text_buffers(batch.column(1))
             docs_at = batch.column(0).to_pylist()
             for a, b in bounded(offsets):
-                texts = [data[offsets[i] : offsets[i + 1]].tobytes().split() for i in range(a, b)]
-                ids_of.learn(set().union(*texts))
+                texts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)]
                 rows = []
-                for doc, words in zip(docs_at[a:b], texts, strict=True):
-                    ids = ids_of.encode(words) + end
+                for doc, ids in zip(docs_at[a:b], ids_of.encode(texts), strict=True):
+                    ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * limit)):
                         part = ids[at : at + 4 * limit]
                         rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), memoryview(part).cast("I").tolist() if with_ids else None))

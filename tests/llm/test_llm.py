@@ -113,6 +113,21 @@ def test_packing(spark, rows):
     assert len(places) <= 1.1 * sum(r.length for r in out) / 64 + 1
 
 
+def test_packing_by_a_tokenizer_without_word_units(spark):
+    from tokenizers import Tokenizer
+
+    assert packing.WordIds.of(queries.tokenizer_path("word_bpe_49k.json")).word_wise
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    assert not packing.WordIds.of(path).word_wise
+    texts = ["Two  words,\n and\tMORE", "", None, "don't stop", "a" * 300 + " b"]
+    out = packing.token_pieces(frame(spark, list(enumerate(texts))), path, limit=8, with_ids=True).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: (r.doc_id, r.piece)):
+        got.setdefault(r.doc_id, []).extend(r.ids)
+    tokenizer = Tokenizer.from_file(path)
+    assert got == {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+
+
 def test_bins_stay_bounded():
     bins = packing.OpenBins(100, 3)
     for n in [60, 70, 80, 90, 55, 40, 30]:
