@@ -131,20 +131,24 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, dims:
     blocks = F.create_map(*[F.lit(int(x)) for r in counts for x in (r.dim, math.ceil(n_asked.get(r.dim, 1) / QUERY_ROWS))])
     asked = asked.withColumn("blocks", blocks[F.col("dim")]).where("blocks is not null")
     asked = asked.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).select("dim", "shard", "vec_id", "embedding").groupBy("dim", "shard").applyInArrow(packed, schema)
-    asked = asked.select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), shards[F.col("dim")] - 1)).alias("shard"))
+    asked = asked.withColumnRenamed("shard", "block").select("dim", F.explode(F.sequence(F.lit(0), shards[F.col("dim")] - 1)).alias("shard"), "block", "ids", "data")
 
     bound = chi_square_quantile(chance, dims)
 
     def search(batches):
         at, tree = None, None
         for batch in batches:
-            for dim, shard, ids, data, q_ids, q_data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if at != (dim, shard):
-                    at, tree = (dim, shard), ProjectedTree(np.frombuffer(ids, np.int64), np.frombuffer(data).reshape(-1, dim), dims)
-                rows = [(q, i, s) for q, v in zip(np.frombuffer(q_ids, np.int64).tolist(), np.frombuffer(q_data).reshape(-1, dim), strict=True) for s, i in tree.nearest(v, q, k, bound)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
-
-    found = base.join(asked, ["dim", "shard"]).sortWithinPartitions("dim", "shard").select("dim", "shard", "ids", "data", "q_ids", "q_data").mapInArrow(search, "query_id long, vec_id long, score double")
+            for dim, shard, block, ids, data in zip(*(batch.column(i) for i in range(5)), strict=True):
+                ids, vectors = np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(data.as_buffer()).reshape(-1, dim.as_py())
+                if block.as_py() < 0:
+                    at, tree = (dim.as_py(), shard.as_py()), ProjectedTree(ids, vectors, dims)
+                elif at == (dim.as_py(), shard.as_py()):
+                    rows = [(q, i, s) for q, v in zip(ids.tolist(), vectors, strict=True) for s, i in tree.nearest(v, q, k, bound)]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+
+    # a shard's vectors are sent once and come before the blocks of queries that are searched in them
+    both = base.select("dim", "shard", F.lit(-1).alias("block"), "ids", "data").unionByName(asked)
+    found = both.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "block").mapInArrow(search, "query_id long, vec_id long, score double")
     found = materialize(found, "neighbours")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
