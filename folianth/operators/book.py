@@ -17,7 +17,7 @@ def in_margin(zone: float = 0.15) -> Column:
 
 def running_headers(lines: DataFrame, min_share: float = 0.2) -> DataFrame:
     """(book, key, n_pages): margin lines on enough of a book's pages, or on a regular stretch of them."""
-    heading = F.col("heading") if "heading" in lines.columns else F.lit(False)
+    heading = F.coalesce(F.col("heading"), F.lit(False)) if "heading" in lines.columns else F.lit(False)
     keyed = lines.select("book", "page", T.margin_key(F.col("text")).alias("key"), heading.alias("heading"), in_margin().alias("margin"))
     pages = lines.groupBy("book").agg(F.countDistinct("page").alias("pages"))
     titles = keyed.where("heading").select("book", "key", F.lit(2).alias("title_need")).distinct()
@@ -27,10 +27,17 @@ def running_headers(lines: DataFrame, min_share: float = 0.2) -> DataFrame:
     return out.where((F.col("n_pages") >= F.greatest(F.lit(3.0), min_share * F.col("pages"))) | regular).select("book", "key", "n_pages")
 
 
-def without_headers(lines: DataFrame, min_share: float = 0.2) -> DataFrame:
-    """Lines that aren't running headers in a margin."""
-    keyed = lines.withColumn("key", F.when(in_margin(), T.margin_key(F.col("text"))))
-    return keyed.join(running_headers(lines, min_share).select("book", "key"), ["book", "key"], "left_anti").drop("key")
+def without_headers(lines: DataFrame, min_share: float = 0.2, variants: bool = False, least_conf: float | None = None) -> DataFrame:
+    """Lines that aren't running headers in a margin, variants of headers included on request, nor margin lines of less
+    confidence than least_conf. Lines with a true `heading` stay."""
+    from folianth.operators.front import header_keys
+
+    free = F.coalesce(F.col("heading"), F.lit(False)) if "heading" in lines.columns else F.lit(False)
+    keyed = lines.withColumn("key", F.when(in_margin() & ~free, T.margin_key(F.col("text"))))
+    if least_conf is not None:
+        keyed = keyed.where(~F.coalesce(F.col("key").isNotNull() & (F.col("conf") < least_conf), F.lit(False)))
+    headers = header_keys(lines, min_share) if variants else running_headers(lines, min_share)
+    return keyed.join(headers.select("book", "key"), ["book", "key"], "left_anti").drop("key")
 
 
 def confidence(lines: DataFrame) -> DataFrame:
@@ -39,16 +46,32 @@ def confidence(lines: DataFrame) -> DataFrame:
     return page.groupBy("book").agg(F.count("*").alias("pages"), F.sum("n").alias("n_lines"), F.round(F.avg("mean_conf"), 6).alias("mean_conf"), F.count_if(F.col("mean_conf") < 70).alias("low_pages"))
 
 
-def exclusive_twentieth(values: str, n: str, i: int) -> Column:
-    """Cut point i of 20 by the exclusive method, of a sorted array."""
-    at = f"cast(greatest(1, least({n} - 1, {i} * ({n} + 1) div 20)) as int)"
-    return F.expr(f"(element_at({values}, {at}) * (20 - ({i} * ({n} + 1) - 20 * {at})) + element_at({values}, {at} + 1) * ({i} * ({n} + 1) - 20 * {at})) / 20.0")
+def ranked(rows: DataFrame, value: str) -> DataFrame:
+    """(book, value, upto, before, total): the distinct values of each book with the ranks they take, counted before they
+    are ordered, so that no task holds a book's rows."""
+    whole = Window.partitionBy("book")
+    counts = rows.groupBy("book", value).agg(F.count("*").alias("times"))
+    upto = F.sum("times").over(whole.orderBy(value))
+    return counts.select("book", value, upto.alias("upto"), (upto - F.col("times")).alias("before"), F.sum("times").over(whole).alias("total"))
+
+
+def at_rank(value: str, rank: str) -> Column:
+    """The value of this rank from 1, as an aggregate over ranked rows."""
+    return F.max(F.when(F.expr(f"before < {rank} and {rank} <= upto"), F.col(value)))
+
+
+def exclusive_twentieth(rows: DataFrame, value: str, i: int, least: int = 20) -> DataFrame:
+    """(book, value): cut point i of 20 by the exclusive method, of books with at least so many rows."""
+    at = f"greatest(1, least(total - 1, {i} * (total + 1) div 20))"
+    part = f"({i} * (total + 1) - 20 * {at})"
+    cut = ranked(rows, value).where(F.col("total") >= least).groupBy("book", "total").agg(at_rank(value, at).alias("lo"), at_rank(value, f"({at} + 1)").alias("hi"))
+    return cut.select("book", F.expr(f"(lo * (20 - {part}) + hi * {part}) / 20.0").alias(value))
 
 
 def margins(lines: DataFrame) -> DataFrame:
     """(book, left, right): 5th percentile of left and 95th of right edges, in page widths, of books of 20 lines or more."""
-    edges = lines.where("width > 0").groupBy("book").agg(F.array_sort(F.collect_list(F.col("x0") / F.col("width"))).alias("a"), F.array_sort(F.collect_list(F.col("x1") / F.col("width"))).alias("b"), F.count("*").cast("int").alias("n"))
-    return edges.where("n >= 20").select("book", exclusive_twentieth("a", "n", 1).alias("left"), exclusive_twentieth("b", "n", 19).alias("right"))
+    edges = lines.where("width > 0").select("book", (F.col("x0") / F.col("width")).alias("left"), (F.col("x1") / F.col("width")).alias("right"))
+    return exclusive_twentieth(edges, "left", 1).join(exclusive_twentieth(edges, "right", 19), "book")
 
 
 def line_pitch(lines: DataFrame) -> DataFrame:
@@ -62,8 +85,8 @@ def sparse_pages(lines: DataFrame, share: float = 0.25) -> DataFrame:
     """(book, page, words, sparse): pages with few words for their book."""
     words = F.when(F.trim("text") == "", 0).otherwise(F.size(F.split(F.trim(F.regexp_replace("text", "\\s+", " ")), " ")))
     page = lines.groupBy("book", "page").agg(F.sum(words).alias("words"))
-    full = page.where("words > 0").groupBy("book").agg(F.array_sort(F.collect_list("words")).alias("w"))
-    typical = full.select("book", F.when(F.size("w") >= 3, F.element_at("w", (F.size("w") / 2).cast("int") + 1)).alias("typical"))
+    middle = at_rank("words", "(total div 2 + 1)").alias("middle")
+    typical = ranked(page.where("words > 0"), "words").groupBy("book", "total").agg(middle).where("total >= 3").select("book", F.col("middle").alias("typical"))
     return page.join(typical, "book", "left").select("book", "page", "words", F.coalesce(F.col("words") < share * F.col("typical"), F.lit(False)).alias("sparse"))
 
 

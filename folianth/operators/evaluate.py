@@ -247,11 +247,16 @@ ENDINGS = (
 SHORT = "و از در بر با تا را هر دو سه چه که به او تو ما من یک نه هم پس چو اگر".split()
 
 
-def split_joined(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+#: Marks around a word that splitting leaves where they are.
+AROUND = "«»،.؛:؟!()\"'-"
+
+
+def split_joined(words: DataFrame, vocabulary: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(word, parts): distinct unknown words cut into the fewest vocabulary words, only after letters that don't join.
 
-    Pieces are SHORT and all vocabulary words of three letters or more but ENDINGS. A word's substrings that may be
-    pieces meet the vocabulary in a shuffled join, and each word is cut with its own pieces.
+    Pieces are SHORT and all vocabulary words of three letters or more but ENDINGS, by comparison form; words of the
+    vocabulary, and of `known` (word) where it is given, aren't cut. A word's substrings that may be pieces meet the
+    vocabulary in a shuffled join, and each word is cut with its own pieces. Null words give no row.
     """
 
     @F.pandas_udf("array<string>")
@@ -262,25 +267,55 @@ def split_joined(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     def run(x: pd.Series, pieces: pd.Series) -> pd.Series:
         return pd.Series([_fewest_pieces(w, set(p)) for w, p in zip(x, pieces, strict=True)], dtype=object)
 
-    unknown = words.select("word").where("word is not null").distinct().join(vocabulary.select("word"), "word", "left_anti")
-    known = vocabulary.select(F.col("word").alias("piece")).where(F.length("piece") > 2).where(~F.col("piece").isin(ENDINGS)).distinct()
-    longest = known.agg(F.coalesce(F.max(F.length("piece")), F.lit(0)).alias("longest"))
+    whole = vocabulary.select(F.col("word").alias("form"))
+    if known is not None:
+        whole = whole.union(known.select(T.comparison_form(F.col("word"))))
+    asked = words.select("word").where("word is not null").distinct().withColumn("form", T.comparison_form(F.col("word")))
+    unknown = asked.join(whole, "form", "left_anti").select("word")
+    pieces = vocabulary.select(F.col("word").alias("piece")).where(F.length("piece") > 2).where(~F.col("piece").isin(ENDINGS)).distinct()
+    longest = pieces.agg(F.coalesce(F.max(F.length("piece")), F.lit(0)).alias("longest"))
     may_be = unknown.crossJoin(F.broadcast(longest)).select("word", F.explode(substrings("word", "longest")).alias("piece"))
-    own = may_be.join(known.hint("shuffle_merge"), "piece").groupBy("word").agg(F.collect_set("piece").alias("pieces"))
+    own = may_be.join(pieces.hint("shuffle_merge"), "piece").groupBy("word").agg(F.collect_set("piece").alias("pieces"))
     cut = unknown.join(own, "word", "left").withColumn("pieces", F.coalesce("pieces", F.array().cast("array<string>")))
     return cut.select("word", run("word", "pieces").alias("parts")).where("size(parts) > 1")
 
 
+def split_texts(texts: DataFrame, key: str, vocabulary: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """texts (key, text, ...) with joined words split in text, and n_split, how many were.
+
+    Words parted by a space are looked at without the marks around them; those with a half-space, and those without a
+    letter that doesn't join before their end, stay. Distinct words are cut once; a text gets only the cuts of its own
+    words, rows that repeat a key those of all of them. Null texts stay null with 0, a null key's texts as they are.
+    """
+    token = F.col("token")
+    tokens = texts.where(F.col(key).isNotNull()).select(key, F.explode(F.array_distinct(F.split("text", " "))).alias("token"))
+    tokens = tokens.where(~token.contains("\u200c") & token.rlike(f"(?s)[{NONJOIN}].")).withColumn("word", F.btrim(token, F.lit(AROUND)))
+    cuts = split_joined(tokens.where("word <> ''"), vocabulary, known).select("word", F.array_join("parts", " ").alias("parted"))
+    found = tokens.join(cuts, "word").select(key, "token", F.replace("token", "word", "parted").alias("parted")).distinct()
+    of_text = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "parted"))).alias("_cuts"))
+    out = texts.join(of_text, key, "left").withColumn("_tokens", F.split("text", " "))
+    n = F.size(F.filter("_tokens", lambda t: F.map_contains_key(F.col("_cuts"), t)))
+    new = F.array_join(F.transform("_tokens", lambda t: F.coalesce(F.element_at(F.col("_cuts"), t), t)), " ")
+    changes = F.col("_cuts").isNotNull() & F.col("text").isNotNull()
+    return out.withColumn("n_split", F.when(changes, n).otherwise(0)).withColumn("text", F.when(changes, new).otherwise(F.col("text"))).drop("_cuts", "_tokens")
+
+
+def _may_cut(w: str, i: int) -> bool:
+    """After a letter that doesn't join and before another letter."""
+    return w[i - 1] in NONJOIN and w[i].isalpha()
+
+
 def _possible_pieces(w: str, longest: int) -> list[str]:
-    """Distinct substrings of 3 to longest letters between letters that don't join and the word's ends."""
-    cuts = [0, *(i for i in range(1, len(w)) if w[i - 1] in NONJOIN), len(w)]
+    """Distinct substrings, by comparison form, of 3 to longest letters between letters that don't join and the word's ends."""
+    cuts = [0, *(i for i in range(1, len(w)) if _may_cut(w, i)), len(w)]
     out = set()
     for k, i in enumerate(cuts):
         for j in cuts[k + 1 :]:
-            if j - i > longest:
+            form = bare(w[i:j])
+            if len(form) > longest:
                 break
-            if j - i > 2:
-                out.add(w[i:j])
+            if len(form) > 2:
+                out.add(form)
     return list(out)
 
 
@@ -291,12 +326,16 @@ def _fewest_pieces(w: str, pieces: set[str]) -> list[str] | None:
     longest = max(map(len, known))
     best: list[tuple[tuple[int, int, int], int] | None] = [None] * (len(w) + 1)
     best[len(w)] = ((0, 0, 0), len(w))
-    for i in range(len(w) - 1, -1, -1):
-        for j in range(i + 1, min(len(w), i + longest) + 1):
-            rest = best[j]
-            if rest is not None and (j == len(w) or w[j - 1] in NONJOIN) and (x := w[i:j]) in known:
+    cuts = [*(i for i in range(1, len(w)) if _may_cut(w, i)), len(w)]
+    for k in range(len(cuts) - 1, -1, -1):
+        i = cuts[k - 1] if k else 0
+        for j in cuts[k:]:
+            form, rest = bare(w[i:j]), best[j]
+            if len(form) > longest:
+                break
+            if rest is not None and form in known:
                 n, short, other = rest[0]
-                key = (n + 1, short + (j - i < 3), other - (x in pieces))
+                key = (n + 1, short + (len(form) < 3), other - (form in pieces))
                 if best[i] is None or key < best[i][0]:
                     best[i] = (key, j)
     if best[0] is None:

@@ -175,6 +175,17 @@ def f05_headers_removed(spark, d):
     return B.without_headers(lines(spark, d), 0.02).groupBy("book").agg(F.count("*").alias("kept"))
 
 
+@query(f"""{LINES_SQL}, {_HEADERS}
+SELECT book, count(*) AS kept FROM lines l WHERE NOT ({_MARGIN} AND (coalesce(conf < 50, false) OR EXISTS (FROM h WHERE h.book = l.book AND h.key = {_KEY.format('l.text')}))) GROUP BY book""")
+def f05_low_margins_removed(spark, d):
+    return B.without_headers(lines(spark, d), 0.02, least_conf=50).groupBy("book").agg(F.count("*").alias("kept"))
+
+
+@query()
+def f05_header_variants_removed(spark, d):
+    return B.without_headers(lines(spark, d), 0.02, variants=True, least_conf=50).groupBy("book").agg(F.count("*").alias("kept"))
+
+
 _CUT = "greatest(1, least(n - 1, {0} * (n + 1) // 20))"
 _Q = "({0}[{1}] * (20 - ({2} * (n + 1) - 20 * {1})) + {0}[{1} + 1] * ({2} * (n + 1) - 20 * {1})) / 20.0"
 _MARGINS = f"""e AS (SELECT book, list_sort(list(x0 / width)) AS a, list_sort(list(x1 / width)) AS b, count(*) AS n FROM lines GROUP BY book),
@@ -374,7 +385,7 @@ _PARAGRAPHS = f"""{LINES_SQL.replace('parts[i + 1] AS text', _PLANTED)}, {_HEADE
 cl AS (SELECT *, {_CLOSE.format(_COMMAS.format(_NORMAL.format('text')))} AS clean FROM lines),
 kk AS (SELECT c.*, sp.sparse FROM cl c JOIN sp USING (book, page)
   WHERE (len(regexp_extract_all(clean, '\\p{{L}}')) > 1 OR (len(regexp_extract_all(clean, '\\p{{L}}')) = 1 AND coalesce(nullif(conf, 0), 100) >= 50))
-  AND NOT ({_MARGIN} AND EXISTS (FROM h WHERE h.book = c.book AND h.key = {_KEY.format('c.text')}))),
+  AND NOT ({_MARGIN} AND (coalesce(conf < 50, false) OR EXISTS (FROM h WHERE h.book = c.book AND h.key = {_KEY.format('c.text')})))),
 kn AS (SELECT kk.*, mg."right" - mg."left" AS tw, y0 - lag(y1) OVER (PARTITION BY kk.book, page ORDER BY line_no) AS above, regexp_replace(clean, '{_NUMBER}', '') AS rest, regexp_matches(clean, '{_NUMBER}') AS numbered FROM kk LEFT JOIN mg USING (book)),
 kl AS (SELECT kn.* EXCLUDE (tw), regexp_matches(clean, '^نصل ({'|'.join(_ORDINALS)})$') AS marked, NOT marked AND NOT sparse AND numbered AND conf >= 40 AND coalesce(above >= 80, true)
   AND coalesce(greatest(1, x1 - x0) / width < 0.6 * tw, true) AND regexp_matches(rest, '^[\\x{{0600}}-\\x{{06FF}}]') AND len(regexp_extract_all(rest, '[\\x{{0621}}-\\x{{064A}}\\x{{067E}}-\\x{{06D3}}]')) >= 3 AND len(string_split_regex(rest, '\\s+')) <= 6
@@ -480,6 +491,12 @@ def p17_split_joined(spark, d):
     return E.split_joined(asked_words(spark, d).union(words), a11_vocabulary(spark, d))
 
 
+@query()
+def p17_split_texts(spark, d):
+    texts = fa(spark, d).withColumnRenamed("s", "text")
+    return E.split_texts(texts, "doc_id", a11_vocabulary(spark, d))
+
+
 @query()
 def w07_pair_quotes(spark, d):
     return fa(spark, d).select("doc_id", E.pair_quotes(F.translate("s", ".,", "«»")).alias("s"))

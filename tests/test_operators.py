@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from folianth.functions import text as T
+from folianth.operators import book as B
 from folianth.operators import checks as C
 from folianth.operators import evaluate as E
 from folianth.operators import front as R
@@ -159,6 +160,55 @@ def test_split_joined_takes_every_word(spark):
     assert got == {("گلزار" + rows[0][0], ("گلزار", rows[0][0]))}
 
 
+def test_split_texts(spark):
+    """Against a plain loop over the words of each text."""
+    rng = random.Random(8)
+    letters, some = "ادربتيك", ["کار", "خوب", "بود", "ترین", "دار", "بار", "ردا"]
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 8))) for _ in range(200)] + [a + b for a in some for b in some] + ["کار\u200cدار", "", "«کارخوب»", "کار:خوب", "(داربار"]
+    texts = [(i, " ".join(rng.choices(words, k=rng.randint(0, 30)))) for i in range(60)] + [(60, None), (None, "کارخوب")]
+    known = {"باردار"}
+
+    def cuts(w):
+        form = E.bare(w)
+        if form in E.SHORT or (form in some and form not in E.ENDINGS):
+            yield [w]
+        for i in range(1, len(w)):
+            head = E.bare(w[:i])
+            if w[i - 1] in E.NONJOIN and w[i].isalpha() and (head in E.SHORT or (head in some and head not in E.ENDINGS)):
+                yield from ([w[:i], *p] for p in cuts(w[i:]))
+
+    def fixed(token):
+        core = token.strip(E.AROUND)
+        if "\u200c" in token or E.bare(core) in {*some, *known} or not core or not any(c in E.NONJOIN for c in token[:-1]):
+            return token
+        found = list(cuts(core))
+        best = min(found, key=lambda p: (len(p), sum(len(E.bare(x)) < 3 for x in p), -sum(E.bare(x) in some for x in p), [len(x) for x in p]), default=[core])
+        return token.replace(core, " ".join(best))
+
+    want = {}
+    for i, t in texts:
+        if t is None or i is None:
+            want[i] = (t, 0)
+        else:
+            new = [fixed(x) for x in t.split(" ")]
+            want[i] = (" ".join(new), sum(a != b for a, b in zip(t.split(" "), new, strict=True)))
+    vocabulary = spark.createDataFrame([(w, 5) for w in some], "word string, n long")
+    more = spark.createDataFrame([(w,) for w in known], "word string")
+    got = {r.id: (r.text, r.n_split) for r in E.split_texts(spark.createDataFrame(texts, "id long, text string"), "id", vocabulary, more).collect()}
+    assert got == want and sum(n for _, n in want.values()) > 50
+
+
+def test_margin_lines(spark):
+    """Variants of headers and lines of low confidence go from margins; headings and the page's middle stay."""
+    rows = [("b", p, 0, "The Long Header", 10, 50, 90, None) for p in range(1, 7)]
+    rows += [("b", 7, 0, "The Lang Header", 10, 50, 90, False), ("b", 8, 0, "Long Header", 10, 50, 90, False), ("b", 9, 0, "quite another", 10, 50, 30, False)]
+    rows += [("b", 9, 1, "The Lang Header", 500, 540, 20, False), ("b", 10, 0, "The Lang Header", 10, 50, 20, True), ("b", 11, 0, "quite another", 10, 50, None, False)]
+    lines = spark.createDataFrame([(*r, 1000) for r in rows], "book string, page int, line_no int, text string, y0 int, y1 int, conf int, heading boolean, height int")
+    kept = lambda **o: {(r.page, r.line_no) for r in B.without_headers(lines, **o).collect()}
+    assert kept(variants=True, least_conf=50) == {(9, 1), (10, 0), (11, 0)}
+    assert kept(least_conf=50) == {(7, 0), (8, 0), (9, 1), (10, 0), (11, 0)}
+
+
 def test_fewest_pieces():
     rng = random.Random(4)
 
