@@ -16,7 +16,7 @@ from folianth.llm.store import materialize
 #: Vectors of a shard, and queries of a block: bounds of what a task holds.
 SHARD_ROWS = 16_384
 QUERY_ROWS = 512
-LEAF_ROWS = 32
+LEAF_ROWS = 128
 
 
 def chi_square_quantile(p: float, even_degrees: int) -> float:
