@@ -20,6 +20,8 @@ from folianth.llm.store import HOT_KEYS, HOT_ROWS, drop, hot_join, hot_keys, mat
 BROADCAST_IDS = 1 << 20
 #: A unit of documents is sent on when it has so many tokens, and a key range holds about so many.
 UNIT_TOKENS, RANGE_TOKENS = 1 << 20, 1 << 20
+#: A key's row holds so many of its set's keys before it, at most.
+KEYS_BEFORE = 8
 #: One seed for each order by hash. The order that makes the candidates goes by rarity.
 ORDER_SEEDS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)
 
@@ -235,8 +237,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Candidates must share a first token under every order: by rarity, counted over all sets, and by two hashes. Under
     rarity a set whose own tokens fill its prefix has no candidates at all, so passages that many documents share make
     none. In each token's group everyone is first compared with one member, the hub: the one with
-    the least share of tokens of its own, such as the text that the others are edited from; what that links is one part. Then pairs are only made between parts, each at the first token that both have
-    and where enough is left behind it. Pairs are judged on their whole sets of 64-bit shingle hashes.
+    the least share of tokens of its own, such as the text that the others are edited from; what that links is one part. Then pairs are only made between parts, at the first token that both have
+    and where enough is left behind it; a later token makes a pair again only if none of the KEYS_BEFORE before it is shared. Pairs are judged on their whole sets of 64-bit shingle hashes.
     """
     docs = ids_and_texts(docs).where("doc_id is not null")
     sizes = materialize(set_digests(docs, k).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int")), "sets")
@@ -286,8 +288,9 @@ def _links(docs: DataFrame, live: DataFrame, k: int, percent: int) -> DataFrame:
         drop(pairs, hot, wanted, sets, links)
         return found
 
-    # a key's row holds the keys before it, so that a pair is made at the first key that both have and nowhere else
-    before = F.slice("keys", F.lit(1), F.col("i")).alias("before")
+    # A key's row holds the last keys before it: where two sets have one of these in common, their pair was made before.
+    # All keys before each would take the square of a prefix; a pair that is made again for want of them goes by distinct().
+    before = F.slice("keys", F.greatest(F.lit(1), F.col("i") - KEYS_BEFORE + 1), F.least(F.col("i"), F.lit(KEYS_BEFORE))).alias("before")
     rows = live.select("doc_id", "n", "own", "keys", F.posexplode("keys").alias("i", "key")).select("doc_id", "n", "own", (F.col("own") + F.col("i")).alias("i"), "key", before)
     groups = rows.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "i"), F.struct(F.col("own") / F.col("n"), F.xxhash64("doc_id"), "doc_id")).alias("hub"), F.min("doc_id").alias("p"), F.max("doc_id").alias("q"), F.count("*").alias("size")).where("p < q")
     groups = materialize(groups.select("key", "size", F.col("hub.doc_id").alias("a"), F.col("hub.n").alias("n1"), F.col("hub.i").alias("i1")), "groups")

@@ -46,6 +46,31 @@ def test_jaccard_large_groups(spark, rows, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(jaccard_join.brute_force(rows, 3, 80))
 
 
+def test_jaccard_keys_before_a_key(spark, monkeypatch):
+    """Long prefixes of shared tokens: what a key's row holds of the keys before it doesn't grow with the prefix, and pairs
+    that are made at every key that both have give the same."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(1200)]
+    edited = lambda words, n: [f"x{rng.randrange(10**6)}" if i in at else w for at in [set(rng.sample(range(len(words)), n))] for i, w in enumerate(words)]
+    versions = [edited(base, 150) for _ in range(4)]
+    rows = [(10 * i + j, " ".join(edited(w, 30 * j))) for i, w in enumerate(versions) for j in range(4)]
+    held, write = [], jaccard_join.materialize
+
+    def watched(df, name):
+        out = write(df, name)
+        if name == "tokens":
+            held.append(out.select(F.count("*"), F.sum(F.size("before"))).first())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", watched)
+    want = sorted(jaccard_join.brute_force(rows, 3, 80))
+    assert 1 < len({c for _, _, c in want}) < len(rows)
+    assert sorted(map(tuple, jaccard_join.jaccard_join(frame(spark, rows), 3, 80).collect())) == want
+    assert held[0][0] > 1000 and held[0][1] <= 8 * held[0][0]
+    monkeypatch.setattr(jaccard_join, "KEYS_BEFORE", 0)
+    assert sorted(map(tuple, jaccard_join.jaccard_join(frame(spark, rows), 3, 80).collect())) == want
+
+
 def test_substrings(spark, rows):
     got = substring_dedup.substring_dedup(frame(spark, rows)).collect()
     assert sorted(map(tuple, got)) == sorted(substring_dedup.brute_force(rows))
