@@ -306,3 +306,10 @@ def test_pipeline(spark):
         counts.append(docs.count())
     assert counts == sorted(counts, reverse=True) and counts[0] > counts[2] > 100
     assert pipeline.run(spark, sf).select("doc_id").distinct().count() == counts[-1]
+
+
+def test_listed_rules_have_the_verdicts_of_the_contract(spark):
+    want = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    assert {r.name: r.verdict for r in url_filter.LISTED} == want
+    pages = spark.createDataFrame(list(enumerate(f"http://www.{rule}" for rule in want)), "page_id long, url string")
+    assert {r.rule: r.verdict for r in url_filter.url_filter(pages).collect()} == want
