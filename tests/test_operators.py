@@ -230,3 +230,25 @@ def test_confusions_of_characters(spark):
     got = {(r.ref, r.hyp): r.n for r in E.confusions(E.compare(pairs)).collect()}
     assert got == {("e", "a"): 1, ("e", ""): 1}
     assert E.character_edits("abc", "xbcd") == [("", "d"), ("a", "x")] and E.character_edits("", "") == []
+
+
+def test_words_are_counted_before_they_are_formed(spark):
+    """A word's form is made once for each different word, whatever is asked of the vocabulary behind it."""
+    rows = spark.createDataFrame([(0, "كار کار کَار، کار. خط خط"), (1, "x 1 خط -"), (2, None)], "id int, text string").repartition(2)
+    assert {tuple(r) for r in B.vocabulary(rows).collect()} == {("کار", 4), ("خط", 3)}
+    assert {tuple(r) for r in B.word_counts(rows).collect()} == {("کار", 4), ("خط", 3), ("", 3)}
+    plan = B.vocabulary(rows).where("length(word) > 2 and word <> 'x'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("translate(") < plan.index("Generate explode") and plan.count("Aggregate") == 2
+    assert plan.rindex("translate(") < plan.rindex("Aggregate")
+
+
+def test_forms_letter_by_letter(spark):
+    import unicodedata
+
+    chars = [chr(c) for c in [*range(1, 0x700), *range(0x2000, 0x2070), *range(0xFB50, 0xFE00, 7), 0x10A00, 0x1F600]]
+    keep = set(map(chr, [*range(0x621, 0x63B), *range(0x641, 0x64B)])) | set("پچژکگیۀ")
+    rows = spark.createDataFrame([(c, f"{c}ب{c}") for c in chars], "c string, s string")
+    for r in rows.select("c", T.comparison_form(F.col("s")).alias("f"), T.clean_line(F.concat(F.lit("ب  "), "s")).alias("k")).collect():
+        c = {"ي": "ی", "ى": "ی", "ك": "ک"}.get(r.c, r.c)
+        c = c if c in keep else ""
+        assert r.f == f"{c}ب{c}", unicodedata.name(r.c, r.c)
