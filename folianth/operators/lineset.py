@@ -21,7 +21,9 @@ LEAST_HEIGHT, MOST_HEIGHT, PAD_X, PAD_Y, FLAG_CONF, LOW_MEAN, LOW_PAGE, LOW_DPI
 
 def match_key(s: Column) -> Column:
     """Letters in comparison form and then the digits, in Persian."""
-    return F.concat(T.comparison_form(s), F.regexp_replace(T.persian_digits(s), "[^0-9۰-۹٠-٩]", ""))
+    # without Latin letters all digits become Persian, so that the rest of the text can go first
+    asked = F.when(s.rlike("[A-Za-z]"), s).otherwise(F.regexp_replace(s, "[^\\p{Nd}]+", ""))
+    return F.concat(T.comparison_form(s), F.regexp_replace(T.persian_digits(asked), "[^0-9۰-۹٠-٩]+", ""))
 
 
 def clean_word(s: Column) -> Column:
