@@ -252,3 +252,14 @@ def test_forms_letter_by_letter(spark):
         c = {"ي": "ی", "ى": "ی", "ك": "ک"}.get(r.c, r.c)
         c = c if c in keep else ""
         assert r.f == f"{c}ب{c}", unicodedata.name(r.c, r.c)
+
+
+def test_normalized_takes_no_table_walk():
+    import time
+    import unicodedata
+
+    text = "سلام دنیا این متن است ۱۲ 34 " * 60_000
+    began = time.process_time()
+    unicodedata.normalize("NFKC", text).translate({1: 2})
+    plain, began = time.process_time() - began, time.process_time()
+    assert E.normalized(text) == text.replace("34", "۳۴") and time.process_time() - began < plain
