@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -95,28 +99,108 @@ def bag_recall(reference: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return both.groupBy(key).agg(F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("hits"), F.sum("n").alias("total"))
 
 
-#: Width of the strips in which gaps are looked for.
-STRIP = 256
+#: So many words at most are looked at together, but for a page that has more.
+WORDS_AT_ONCE = 200_000
+
+
+def words_of_pages(words: DataFrame) -> DataFrame:
+    """(page, words): each page's words in one array of (line_no, x0, x1, h), h being their height."""
+    return words.groupBy("page").agg(F.collect_list(F.struct("line_no", "x0", "x1", (F.col("y1") - F.col("y0")).alias("h"))).alias("words"))
+
+
+def page_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, pa.StructArray, list[np.ndarray]]]:
+    """Of rows of words_of_pages, some pages at a time: their keys, each word's page by its place among them, the words,
+    and line_no, x0, x1 and h in numbers."""
+    for batch in batches:
+        keys, lists = batch.column(0), batch.column(1)
+        ends, at = lists.offsets.to_numpy(), 0
+        while at < len(keys):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + WORDS_AT_ONCE, "right")) - 1)
+            flat = lists.values.slice(ends[at], ends[to] - ends[at])
+            yield keys.slice(at, to - at), np.repeat(np.arange(to - at), np.diff(ends[at : to + 1])), flat, [x.to_numpy(zero_copy_only=False) for x in flat.flatten()]
+            at = to
+
+
+def starts_of(*keys: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it in a key."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
+
+
+def upper_medians(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The upper median of each stretch of values that begins at starts."""
+    n = np.diff(np.append(starts, len(values)))
+    order = np.lexsort((values, np.repeat(np.arange(len(starts)), n)))
+    return values[order][starts + n // 2]
+
+
+def lines_sharing(page: np.ndarray, line: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """For each gap [s, e) of a line of a page, how many lines of the page have a gap that overlaps it.
+
+    page and line are numbers from 0, a line belongs to one page. A line's gaps are merged where they overlap; it shares a
+    gap unless that lies behind one of its gaps and before the next. Counts of ends give how many gaps overlap and how many
+    neighbours both do, but for the neighbours that stand around the gap: these are counted in blocks of 1, 2, 4.. of them
+    in the order of the first one's end, each sorted by the second one's start."""
+    low = min(s.min(), e.min())
+    wide = int(max(s.max(), e.max()) - low) + 2
+    s, e = (page.astype(np.int64) * wide + (x - low) for x in (s, e))
+    order = np.lexsort((s, line))
+    far = (int(page.max()) + 1) * wide + 1
+    reach = np.maximum.accumulate(e[order] + line[order] * far) - line[order] * far
+    new = np.ones(len(s), bool)
+    new[1:] = (line[order][1:] != line[order][:-1]) | (s[order][1:] > reach[:-1])
+    first = np.flatnonzero(new)
+    a, b, own = s[order][first], reach[np.append(first[1:], len(s)) - 1], line[order][first]
+    pair = own[1:] == own[:-1]
+    left, right = b[:-1][pair], a[1:][pair]
+    asked, back = np.unique(np.stack([s, e]), axis=1, return_inverse=True)
+    gs, ge = asked
+    base = gs // wide * wide
+    below = lambda x, v, side: np.searchsorted(x, v, side) - np.searchsorted(x, base, "left")
+    n = below(np.sort(a), ge, "left") - below(np.sort(b), gs, "right")
+    by_end = np.argsort(left, kind="stable")
+    left, right = left[by_end], right[by_end]
+    n -= below(np.sort(right), ge, "left") - below(left, gs, "right")
+    upto, k = np.searchsorted(left, gs, "right"), 0
+    while 1 << k <= len(right):
+        block = np.sort(right + (np.arange(len(right)) >> k) * far)
+        q = np.flatnonzero(upto >> k & 1)
+        j = (upto[q] >> k) - 1
+        n[q] -= ((j + 1) << k) - np.searchsorted(block, ge[q] + j * far, "left")
+        k += 1
+    return n[back.ravel()]
 
 
 def column_gaps(words: DataFrame, share: float = 0.2) -> DataFrame:
-    """(page, line_no, gap_start, gap_end): wide gaps between a line's words that enough lines of the page share.
-
-    A gap is wide beyond 20 and 2.5 times the line's upper median gap, or beyond 2 word heights if it is the only one."""
-    order = Window.partitionBy("page", "line_no").orderBy(F.desc("x1"))
-    gaps = words.withColumn("next", F.lead("x1").over(order)).where("next is not null").select("page", "line_no", F.col("next").alias("gap_start"), F.col("x0").alias("gap_end"), (F.col("y1") - F.col("y0")).alias("h"))
-    size = F.col("gap_end") - F.col("gap_start")
-    sizes = F.array_sort(F.collect_list(size))
-    typical = gaps.groupBy("page", "line_no").agg(F.count("*").alias("n"), F.element_at(sizes, (F.size(sizes) / 2).cast("int") + 1).alias("middle"))
-    is_wide = F.when(F.col("n") == 1, size > 2 * F.col("h")).otherwise(size > F.greatest(F.lit(20.0), 2.5 * F.col("middle")))
-    wide = gaps.join(typical, ["page", "line_no"]).where(is_wide).select("page", "line_no", "gap_start", "gap_end")
-    lines = words.groupBy("page").agg(F.countDistinct("line_no").alias("n_lines"))
-    # gaps meet in the strips of the page that they touch, so long lines aren't compared gap by gap
-    strips = F.explode(F.sequence(F.floor(F.col("gap_start") / STRIP), F.floor((F.col("gap_end") - 1) / STRIP)))
-    wide = wide.withColumn("strip", strips)
-    other = wide.select(F.col("page").alias("page2"), F.col("line_no").alias("line2"), F.col("gap_start").alias("s2"), F.col("gap_end").alias("e2"), F.col("strip").alias("strip2"))
-    shared = wide.join(other, F.expr("page = page2 and strip = strip2 and s2 < gap_end and gap_start < e2")).groupBy("page", "line_no", "gap_start", "gap_end").agg(F.countDistinct("line2").alias("shared"))
-    return shared.join(lines, "page").where(F.col("shared") >= F.greatest(F.lit(3.0), share * F.col("n_lines"))).select("page", "line_no", "gap_start", "gap_end", "shared")
+    """(page, line_no, gap_start, gap_end, shared): wide gaps between a line's words that enough lines of the page share.
+
+    A gap is wide beyond 20 and 2.5 times the line's upper median gap, or beyond 2 word heights if it is the only one. A
+    page's words meet in one row; how many lines share a gap is counted without comparing gaps with each other."""
+    kind = {f.name: f.dataType.simpleString() for f in words.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, page, flat, (line, x0, x1, h) in page_slices(batches):
+            order = np.lexsort((-x1, line, page))
+            page, line, x0, x1, h = (x[order] for x in (page, line, x0, x1, h))
+            n_lines = np.bincount(page[starts_of(page, line)], minlength=len(keys))
+            gap = np.flatnonzero((page[1:] == page[:-1]) & (line[1:] == line[:-1]))
+            page, line, h, s, e = page[gap], line[gap], h[gap], x1[gap + 1], x0[gap]
+            starts = starts_of(page, line)
+            n = np.diff(np.append(starts, len(gap)))
+            one, typical = (np.repeat(x, n) for x in (n == 1, upper_medians(e - s, starts)))
+            wide = np.flatnonzero(np.where(one, e - s > 2 * h, e - s > np.maximum(20.0, 2.5 * typical)))
+            if not len(wide):
+                continue
+            ids = np.repeat(np.arange(len(starts)), n)[wide]
+            shared = lines_sharing(page[wide], ids, s[wide], e[wide])
+            kept = np.flatnonzero(shared >= np.maximum(3.0, share * n_lines[page[wide]]))
+            at = gap[wide[kept]]
+            columns = [keys.take(pa.array(page[wide[kept]])), flat.field("line_no").take(pa.array(order[at])), flat.field("x1").take(pa.array(order[at + 1])), flat.field("x0").take(pa.array(order[at])), pa.array(shared[kept])]
+            yield pa.RecordBatch.from_arrays(columns, ["page", "line_no", "gap_start", "gap_end", "shared"])
+
+    schema = f"page {kind['page']}, line_no {kind['line_no']}, gap_start {kind['x1']}, gap_end {kind['x0']}, shared long"
+    return words_of_pages(words.where("page is not null")).mapInArrow(run, schema)
 
 
 def box_pairs(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:

@@ -263,3 +263,54 @@ def test_normalized_takes_no_table_walk():
     unicodedata.normalize("NFKC", text).translate({1: 2})
     plain, began = time.process_time() - began, time.process_time()
     assert E.normalized(text) == text.replace("34", "۳۴") and time.process_time() - began < plain
+
+
+def test_lines_sharing_a_gap_against_all_pairs(spark):
+    """Gaps of any width, overlapping ones of a line and empty pages, against a comparison of all pairs; long lines of a
+    page with many lines take no time that grows with the square."""
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n, top = int(rng.integers(1, 60)), int(rng.choice([12, 60, 500]))
+        line = np.sort(rng.integers(0, 12, n))
+        page = line // 4
+        s = rng.integers(-20, top, n)
+        e = s + rng.integers(1, 30, n)
+        want = [len({line[j] for j in range(n) if page[j] == page[i] and s[j] < e[i] and s[i] < e[j]}) for i in range(n)]
+        assert J.lines_sharing(page, line, s, e).tolist() == want
+    line = np.repeat(np.arange(1500), 60)
+    s = np.tile(np.arange(60) * 90, 1500) + rng.integers(0, 60, 90_000)
+    began = time.process_time()
+    assert J.lines_sharing(line * 0, line, s, s + 25).max() <= 1500 and time.process_time() - began < 10
+
+
+def test_gaps_of_random_words(spark, monkeypatch):
+    """Pages in several slices, lines of one word, against plain loops."""
+    monkeypatch.setattr(J, "WORDS_AT_ONCE", 30)
+    rng = random.Random(9)
+    rows = []
+    for p in range(12):
+        for line in range(rng.randint(1, 7)):
+            x = 1500
+            for _ in range(rng.randint(1, 9)):
+                w = rng.randint(20, 60)
+                rows.append((p, line, x - w, x, 60 * line, 60 * line + rng.choice([20, 30, 40])))
+                x -= w + rng.choice([10, 10, 15, 120, 200])
+    words = spark.createDataFrame(rows, "page long, line_no int, x0 int, x1 int, y0 int, y1 int")
+    parts, wide, count = set(), [], {}
+    for (p, line), own in itertools.groupby(rows, key=lambda r: r[:2]):
+        own = sorted(own, key=lambda r: -r[3])
+        count[p] = count.get(p, 0) + 1
+        heights, part = sorted(r[5] - r[4] for r in own), 0
+        gaps = [(b[3], a[2], a[5] - a[4]) for a, b in itertools.pairwise(own)]
+        sizes = sorted(e - s for s, e, _ in gaps)
+        wide += [(p, line, s, e) for s, e, h in gaps if (e - s > 2 * h if len(gaps) == 1 else e - s > max(20, 2.5 * sizes[len(sizes) // 2]))]
+        for i, r in enumerate(own):
+            part += i > 0 and own[i - 1][2] - r[3] > 2.5 * heights[len(heights) // 2]
+            parts.add((p, line, r[2], r[3], part))
+    assert {tuple(r) for r in S.split_at_gaps(words).collect()} == parts
+    shared = [(*g, len({h[1] for h in wide if h[0] == g[0] and h[2] < g[3] and g[2] < h[3]})) for g in wide]
+    assert sorted(map(tuple, J.column_gaps(words).collect())) == sorted(g for g in shared if g[4] >= max(3, 0.2 * count[g[0]])) != []
