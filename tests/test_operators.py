@@ -314,3 +314,13 @@ def test_gaps_of_random_words(spark, monkeypatch):
     assert {tuple(r) for r in S.split_at_gaps(words).collect()} == parts
     shared = [(*g, len({h[1] for h in wide if h[0] == g[0] and h[2] < g[3] and g[2] < h[3]})) for g in wide]
     assert sorted(map(tuple, J.column_gaps(words).collect())) == sorted(g for g in shared if g[4] >= max(3, 0.2 * count[g[0]])) != []
+
+
+def test_reading_order_of_a_long_row():
+    """One row of many boxes, of several heights: time in proportion, the same as all boxes of the row say."""
+    import time
+
+    rng = random.Random(4)
+    boxes = [(40 * i, rng.randint(0, 3), 40 * i + rng.randint(5, 40), 40 + rng.randint(0, 9)) for i in range(20_000)]
+    began = time.process_time()
+    assert S.swept(boxes) == [list(range(19_999, -1, -1))] and time.process_time() - began < 5
