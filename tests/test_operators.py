@@ -324,3 +324,14 @@ def test_reading_order_of_a_long_row():
     boxes = [(40 * i, rng.randint(0, 3), 40 * i + rng.randint(5, 40), 40 + rng.randint(0, 9)) for i in range(20_000)]
     began = time.process_time()
     assert S.swept(boxes) == [list(range(19_999, -1, -1))] and time.process_time() - began < 5
+
+
+def test_headings_and_headers_are_cheap_for_other_lines(spark):
+    """A line meets the ordinals once, and lines aren't dealt by their header keys."""
+    from folianth.operators import headings as H
+
+    rows = spark.createDataFrame([("b", 1, 0, "فصل دوم", 10, 50, 1000, 90)], "book string, page int, line_no int, text string, y0 int, y1 int, height int, conf int")
+    plan = rows.select(H.match_heading(F.col("text")).alias("h"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("levenshtein(") <= 2
+    physical = S.kept_lines(rows, 0.02)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [book" in physical and "LeftAnti" in physical and physical.count("clean") and "SortMergeJoin [book#" not in physical.split("BroadcastHashJoin")[0]
