@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folianth.functions import text as T
+
 PAGE = "number int, route string, width int, height int, lines array<struct<text:string, bbox:array<int>, conf:double, heading:boolean>>, settings map<string,string>, seconds double"
 DECISION = "struct<status:string, text:string, saved:string, by:string>"
 LINE = "id string, page int, split string, rules int, box array<int>, ocr string, start string, prefilled boolean, hint string, words array<struct<t:string, conf:int, x0:int, x1:int, y0:int, y1:int, flag:boolean, sugg:array<string>>>"
@@ -66,7 +68,7 @@ def reader_words(tsv: DataFrame) -> DataFrame:
 def parse_table(rows: DataFrame) -> DataFrame:
     """Rows (page, seq, row) of a page reader's tab-separated output, its head left out, as columns for reader_words."""
     names = ("level", "page_num", "block", "par", "line", "word", "left", "top", "width", "height", "conf", "text")
-    cells = rows.withColumn("c", F.split("row", "\t", 12)).where(F.col("c")[0] != "level")
+    cells = T.computed(rows, "c", F.split("row", "\t", 12)).where(F.col("c")[0] != "level")
     kind = lambda n: "double" if n == "conf" else "string" if n == "text" else "int"
     return cells.select("page", "seq", *[F.coalesce(F.col("c")[i].cast(kind(n)), F.lit("" if n == "text" else 0)).alias(n) for i, n in enumerate(names)])
 
