@@ -332,6 +332,7 @@ def test_headings_and_headers_are_cheap_for_other_lines(spark):
 
     rows = spark.createDataFrame([("b", 1, 0, "فصل دوم", 10, 50, 1000, 90)], "book string, page int, line_no int, text string, y0 int, y1 int, height int, conf int")
     plan = rows.select(H.match_heading(F.col("text")).alias("h"))._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("levenshtein(") <= 2
+    assert plan.count("levenshtein(") <= 3
     physical = S.kept_lines(rows, 0.02)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin [book" in physical and "LeftAnti" in physical and physical.count("clean") and "SortMergeJoin [book#" not in physical.split("BroadcastHashJoin")[0]
+    joins = [x for x in physical.split("\n") if "LeftAnti" in x]
+    assert joins and all("BroadcastHashJoin" in x for x in joins)
